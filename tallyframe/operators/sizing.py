@@ -1,0 +1,18 @@
+"""Letting the planner see the real size of a small intermediate result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Materialise a per-group result so that joins are planned by its size.
+
+    An aggregate is planned with the size estimate of its whole input, so a join
+    back to the rows would shuffle both sides.  Once persisted, its measured size
+    decides: below the broadcast threshold it is broadcast, above it the join
+    stays a shuffle join.  A lost block is recomputed from the input.
+    """
+    df = df.persist()
+    df.count()
+    return df
