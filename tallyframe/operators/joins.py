@@ -28,7 +28,7 @@ def null_safe_join(
 ) -> DataFrame:
     """Equi-join in which missing keys match each other."""
     renamed = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
-    condition = [left[k].eqNullSafe(F.col(f"{k}__r")) for k in keys]
+    condition = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
     return left.join(renamed, condition, how).drop(*[f"{k}__r" for k in keys])
 
 

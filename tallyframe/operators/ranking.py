@@ -22,6 +22,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.operators.joins import null_safe_join
+
 CELLS_PER_E_FOLD = 2048
 SLICES = 65536
 # Rows of one cell that a single task may sort without slicing them first.
@@ -81,7 +83,7 @@ def order_statistics(
     # broadcast below the configured threshold and shuffled above it.
     wanted = wanted.persist()
     largest = wanted.agg(F.max("n")).first()[0] or 0
-    rows = _same_keys(rows, wanted.drop("n"), [*key, "cell"])
+    rows = null_safe_join(rows, wanted.drop("n"), [*key, "cell"])
     if largest <= ONE_TASK_ROWS:
         hits = rows.groupBy(*key, "cell", "first", "want", "v").agg(F.count("*").alias("n"))
         part, base = [*key, "cell"], F.col("first")
@@ -127,14 +129,7 @@ def _sliced(rows: DataFrame, key: Sequence[str]):
         .drop("slice_n")
     )
     part = [*key, "cell", "slice"]
-    return _same_keys(hits, slices, part), part, F.col("first") + F.col("before")
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join in which missing group keys match each other."""
-    renamed = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
-    condition = [left[k].eqNullSafe(F.col(f"{k}__r")) for k in keys]
-    return left.join(renamed, condition, "inner").drop(*[f"{k}__r" for k in keys])
+    return null_safe_join(hits, slices, part), part, F.col("first") + F.col("before")
 
 
 def _rank_struct(label: str, rank: Column) -> Column:
@@ -188,7 +183,7 @@ def percentiles(
         *[picked(column_of[n], f"{fractions[n]}:high").cast("double").alias(f"{n}__high") for n in specs],
     )
     if by:
-        ends = _same_keys(ends, counts, by)
+        ends = null_safe_join(ends, counts, by)
     else:
         ends = ends.withColumns({
             f"n__{c}": counts.select(f"n__{c}").scalar() for c in measures
@@ -256,8 +251,8 @@ def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFr
 def rank_groups(df: DataFrame, by: str, out: str, descending: bool = True) -> DataFrame:
     """Dense rank of an aggregated result by one column.
 
-    The distinct values are ranked and joined back, so equal values share a rank.
-    Intended for results that are already one row per group.
+    For results with a fixed small number of groups, such as calendar months: the
+    window spans all rows of ``df``.
     """
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     return df.withColumn(out, F.dense_rank().over(Window.orderBy(order)))
