@@ -6,10 +6,15 @@ They are applied to result rows only - one per test - never to data rows.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The formulas travel to the workers by value; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TINY = 1e-300
 _EPS = 1e-16
 

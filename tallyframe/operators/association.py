@@ -9,14 +9,19 @@ same chi-square value.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.numeric import quotient
 
+# The solver travels to the workers by value; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The binned normal distribution spans five deviations each way.
 NORMAL_REACH = 5.0
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
@@ -143,11 +148,15 @@ def phi_k(chi2: float, n: float, nx: int, ny: int) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
-def _phi_k_column(chi2: pd.Series, n: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-    return pd.Series(
-        [phi_k(c, t, int(a), int(b)) for c, t, a, b in zip(chi2, n, nx, ny)], dtype="float64"
-    )
+def _phi_k_of(stats: DataFrame) -> DataFrame:
+    @F.pandas_udf("double")
+    def solved(chi2: pd.Series, n: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series(
+            [phi_k(c, t, int(a), int(b)) for c, t, a, b in zip(chi2, n, nx, ny)],
+            dtype="float64",
+        )
+
+    return stats.withColumn("phi_k", solved("chi2", "total", "nx", "ny"))
 
 
 def association(
@@ -155,4 +164,4 @@ def association(
 ) -> DataFrame:
     """Chi-square, Cramer's V and phi_K of each column with the target."""
     stats = chi_square(contingency(df, target, columns, interval_columns, bins))
-    return stats.withColumn("phi_k", _phi_k_column("chi2", "total", "nx", "ny"))
+    return _phi_k_of(stats)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.functions.numeric import half_up, mean, quotient
+from tallyframe.functions.numeric import exact, half_up, quotient
 from tallyframe.operators.joins import cohort_activity
 
 
@@ -54,9 +54,14 @@ def retention(df: DataFrame, user: str, day: str, base_day) -> DataFrame:
 def group_means_with_total(
     df: DataFrame, key: str, value: str, out: str, total_out: str, scale: int = 2
 ) -> DataFrame:
-    """Mean per non-missing group next to the mean over all rows."""
-    overall = df.agg(mean(value, scale)).scalar()
-    return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(mean(value, scale).alias(out))
-        .withColumn(total_out, overall)
+    """Mean per non-missing group next to the mean over all rows.
+
+    The overall mean comes from the sums of the groups, so rows are read once.
+    """
+    sums = df.groupBy(key).agg(
+        F.sum(exact(value, scale)).alias("s"), F.count(value).alias("n")
+    )
+    overall = sums.agg(quotient(F.sum("s"), F.sum("n"))).scalar()
+    return sums.where(F.col(key).isNotNull()).select(
+        key, quotient("s", "n").alias(out), overall.alias(total_out)
     )

@@ -147,7 +147,7 @@ def conversion_by_group(participants: DataFrame, events: DataFrame) -> DataFrame
     """Users, buyers, conversion and its distance to the control group."""
     users = lifetime_participants(participants, events)
     rates = conversion(users, "group", "user_id", F.col("is_buyer"))
-    control = rates.where(F.col("group") == CONTROL).select("cr").scalar()
+    control = rates.agg(F.max(F.when(F.col("group") == CONTROL, F.col("cr")))).scalar()
     return rates.withColumn("diff_cr", half_even(F.col("cr") - control))
 
 

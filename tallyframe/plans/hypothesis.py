@@ -10,6 +10,7 @@ from tallyframe.operators.experiment import group_imbalance, group_shares, with_
 from tallyframe.operators.joins import overlap
 from tallyframe.operators.profile import describe, duplicate_count
 from tallyframe.operators.stats import box_stats, histogram, levene, welch_ttest
+from tallyframe.sources.staging import staged
 
 # The compared cities.
 CITIES = ("Москва", "Санкт-Петербург")
@@ -20,10 +21,15 @@ def clean_sample(sample: DataFrame) -> DataFrame:
     return drop_ambiguous(sample, "puid")
 
 
+def staged_sample(sample: DataFrame) -> DataFrame:
+    """The cleaned sample, written once for reports that read it repeatedly."""
+    return staged(clean_sample(sample).select("city", "puid", "hours"), "sample")
+
+
 def group_integrity(sample: DataFrame, cities: tuple[str, str] = CITIES) -> DataFrame:
     """Duplicates, overlap of the cities, and the sizes after ambiguous users left."""
     first, second = cities
-    clean = clean_sample(sample)
+    clean = staged_sample(sample)
 
     def entries(row: DataFrame, **names: str) -> DataFrame:
         return row.select(F.inline(F.array(*[
@@ -59,14 +65,14 @@ def city_shares(sample: DataFrame) -> DataFrame:
 
 def group_moments(sample: DataFrame) -> DataFrame:
     """Distribution of hours per city."""
-    stats = describe(clean_sample(sample), "hours", by=["city"])
+    stats = describe(staged_sample(sample), "hours", by=["city"])
     measures = ["mean", "std", "var", "min", "q25", "q50", "q75", "max"]
     return stats.select("city", "count", *[half_up(m, 4).alias(m) for m in measures])
 
 
 def hours_box(sample: DataFrame) -> DataFrame:
     """Quartiles, whiskers and outliers of hours per city."""
-    stats = box_stats(clean_sample(sample), "hours", by=["city"])
+    stats = box_stats(staged_sample(sample), "hours", by=["city"])
     measures = ["q25", "q50", "q75", "whisker_low", "whisker_high"]
     return stats.select("city", "count", *[half_up(m, 4).alias(m) for m in measures], "outliers")
 
@@ -76,14 +82,14 @@ def variance_test(
 ) -> DataFrame:
     """Equality of the variances of hours."""
     test = with_decision(
-        levene(clean_sample(sample), "city", "hours", cities), "p_value", alpha
+        levene(staged_sample(sample), "city", "hours", cities), "p_value", alpha
     )
     return test.withColumns({"f_stat": half_up("f_stat", 6), "p_value": half_up("p_value", 6)})
 
 
 def value_histogram(sample: DataFrame, bins: int = 37) -> DataFrame:
     """Density histogram of hours per city, each over its own range."""
-    return histogram(clean_sample(sample), "hours", bins, by=["city"])
+    return histogram(staged_sample(sample), "hours", bins, by=["city"])
 
 
 def mean_test(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.numeric import exact, half_even, half_up, mean, quotient
 from tallyframe.functions.text import bill_middle
-from tallyframe.operators.association import association
+from tallyframe.operators.association import association, chi_square, contingency
 from tallyframe.operators.clean import (
     cast_columns, dedupe_first, drop_missing, keyword_flag, map_values, normalise_text,
     presence_flag, replace_text,
@@ -138,6 +138,7 @@ def _counts(df: DataFrame, column: str, question: str) -> DataFrame:
 
 def category_distribution(places: DataFrame, centre: str = CENTRE) -> DataFrame:
     """Places per category, per district, and per category inside the centre."""
+    places = staged(places.select("category", "district"), "places")
     central = places.where(F.col("district") == centre)
     return (
         _counts(places, "category", "category")
@@ -154,6 +155,7 @@ def name_counts(places: DataFrame, k: int = 20) -> DataFrame:
 
 def chain_share(places: DataFrame) -> DataFrame:
     """Fraction of chain and independent places, overall and per category."""
+    places = staged(places.select("category", "chain"), "chain-flags")
     overall = value_shares(places, "chain", "share").agg(
         F.coalesce(F.max(F.when(F.col("chain") == 0, F.col("share"))), F.lit(0.0)).alias("chain_0"),
         F.coalesce(F.max(F.when(F.col("chain") == 1, F.col("share"))), F.lit(0.0)).alias("chain_1"),
@@ -223,17 +225,17 @@ def rating_association(places: DataFrame, bins: int = 10) -> DataFrame:
 
 def rating_chi_square(places: DataFrame, bins: int = 10) -> DataFrame:
     """The closed-form part of the association: chi-square and Cramer's V."""
-    return rating_association(places, bins).select(
-        "column_name", "total", "nx", "ny", "chi2", "cramers_v"
+    columns = staged(places.select("rating", *ASSOCIATED), "associated")
+    return chi_square(contingency(columns, "rating", ASSOCIATED, INTERVAL, bins)).withColumns(
+        {c: half_up(c, 6) for c in ("chi2", "cramers_v")}
     )
 
 
 def rating_by_price(places: DataFrame) -> DataFrame:
     """Mean rating and box-plot numbers per price class, best class first."""
-    rated = staged(
-        places.where(F.col("price").isNotNull()).select("price", "rating"), "price-ratings"
-    )
-    overall = places.agg(mean("rating")).scalar()
+    everything = staged(places.select("price", "rating"), "price-ratings")
+    rated = everything.where(F.col("price").isNotNull())
+    overall = everything.agg(mean("rating")).scalar()
     means = rated.groupBy("price").agg(mean("rating").alias("mean_rating"))
     boxes = box_stats(rated, "rating", by=["price"])
     measures = ["q25", "q50", "q75", "whisker_low", "whisker_high"]
