@@ -104,7 +104,7 @@ VIEWS = {
         SELECT CASE WHEN (c_nationkey < 17) = (o_totalprice >= 5000)
                     THEN 'Moscow' ELSE 'Saint Petersburg' END AS city,
                o_custkey AS puid,
-               SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS hours
+               CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) * 0.0001 AS DECIMAL(18,2)) AS hours
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey
         GROUP BY 1, 2""",
     # --- store experiment --------------------------------------------------
