@@ -52,15 +52,13 @@ def order_statistics(
     ``values`` maps a measure name to a numeric column; missing values do not
     count.  ``ranks`` takes the column holding a group's row count and returns an
     array column of structs ``(label, rank)`` with 1-based ranks.  The result has
-    the group columns, ``measure``, ``label``, ``rank``, ``value`` and ``below``,
-    the number of rows whose value is smaller.
+    the group columns, ``measure``, ``total`` (the group's row count), ``label``,
+    ``rank``, ``value`` and ``below``, the number of rows whose value is smaller.
     """
     by = list(by)
     key = [*by, "measure"]
-    pairs = [F.struct(F.lit(m).alias("measure"), F.col(c).alias("v")) for m, c in values.items()]
-    rows = df.select(*by, F.inline(F.array(*pairs)) if len(pairs) > 1 else pairs[0].alias("p"))
-    if len(pairs) == 1:
-        rows = rows.select(*by, "p.measure", "p.v")
+    measures = df.select(*by, *[F.col(c).alias(m) for m, c in values.items()])
+    rows = measures.unpivot(by, list(values), "measure", "v")
     rows = rows.where(F.col("v").isNotNull()).withColumn("cell", _cell(F.col("v")))
 
     cells = rows.groupBy(*key, "cell").agg(
@@ -77,7 +75,7 @@ def order_statistics(
             lambda r: (r["rank"] > F.col("first")) & (r["rank"] <= F.col("last")),
         ))
         .where(F.size("want") > 0)
-        .select(*key, "cell", "n", "first", "low", "high", "want")
+        .select(*key, "cell", "n", "total", "first", "low", "high", "want")
     )
     # Persisting gives the planner the measured size of this side, so that it is
     # broadcast below the configured threshold and shuffled above it.
@@ -85,7 +83,9 @@ def order_statistics(
     largest = wanted.agg(F.max("n")).first()[0] or 0
     rows = null_safe_join(rows, wanted.drop("n"), [*key, "cell"])
     if largest <= ONE_TASK_ROWS:
-        hits = rows.groupBy(*key, "cell", "first", "want", "v").agg(F.count("*").alias("n"))
+        hits = rows.groupBy(*key, "cell", "total", "first", "want", "v").agg(
+            F.count("*").alias("n")
+        )
         part, base = [*key, "cell"], F.col("first")
     else:
         hits, part, base = _sliced(rows, key)
@@ -102,9 +102,11 @@ def order_statistics(
         ))
     )
     return located.select(
-        *key, F.explode("want").alias("w"), F.col("v").alias("value"), "below"
-    ).select(*key, F.col("w.label").alias("label"), F.col("w.rank").alias("rank"),
-             "value", "below")
+        *key, "total", F.explode("want").alias("w"), F.col("v").alias("value"), "below"
+    ).select(
+        *key, "total", F.col("w.label").alias("label"), F.col("w.rank").alias("rank"),
+        "value", "below",
+    )
 
 
 def _sliced(rows: DataFrame, key: Sequence[str]):
@@ -116,9 +118,9 @@ def _sliced(rows: DataFrame, key: Sequence[str]):
             / (F.col("high") - F.col("low")).cast("double") * SLICES
         ),
     ).otherwise(F.lit(0))
-    hits = rows.groupBy(*key, "cell", "first", "want", slice_of.alias("slice"), "v").agg(
-        F.count("*").alias("n")
-    )
+    hits = rows.groupBy(
+        *key, "cell", "total", "first", "want", slice_of.alias("slice"), "v"
+    ).agg(F.count("*").alias("n"))
     before = (
         Window.partitionBy(*key, "cell").orderBy("slice")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -166,36 +168,24 @@ def percentiles(
         return F.array(*wanted)
 
     found = order_statistics(df, measures, ranks, by)
-    if interpolate:
-        counts = df.groupBy(*by).agg(*[F.count(c).alias(f"n__{c}") for c in measures])
 
-    def picked(column: str, label: str) -> Column:
-        return F.max(
-            F.when((F.col("measure") == column) & (F.col("label") == label), F.col("value"))
-        )
+    def picked(name: str, label: str, column: str = "value") -> Column:
+        at = (F.col("measure") == column_of[name]) & (F.col("label") == label)
+        return F.max(F.when(at, F.col(column)))
 
     if not interpolate:
         return found.groupBy(*by).agg(
-            *[picked(column_of[n], f"{fractions[n]}").alias(n) for n in specs]
+            *[picked(n, f"{fractions[n]}").alias(n) for n in specs]
         )
-    ends = found.groupBy(*by).agg(
-        *[picked(column_of[n], f"{fractions[n]}:low").cast("double").alias(f"{n}__low") for n in specs],
-        *[picked(column_of[n], f"{fractions[n]}:high").cast("double").alias(f"{n}__high") for n in specs],
-    )
-    if by:
-        ends = null_safe_join(ends, counts, by)
-    else:
-        ends = ends.withColumns({
-            f"n__{c}": counts.select(f"n__{c}").scalar() for c in measures
-        })
 
     def blended(name: str) -> Column:
-        position = (F.col(f"n__{column_of[name]}") - 1) * F.lit(fractions[name])
+        low = picked(name, f"{fractions[name]}:low").cast("double")
+        high = picked(name, f"{fractions[name]}:high").cast("double")
+        position = (picked(name, f"{fractions[name]}:low", "total") - 1) * F.lit(fractions[name])
         part = (position - F.floor(position)).cast("double")
-        low, high = F.col(f"{name}__low"), F.col(f"{name}__high")
-        return (low + (high - low) * part).alias(name)
+        return low + (high - low) * part
 
-    return ends.select(*by, *[blended(n) for n in specs])
+    return found.groupBy(*by).agg(*[blended(n).alias(n) for n in specs])
 
 
 def percentile_disc(df: DataFrame, column: str, p: str | float, out: str, by=()) -> DataFrame:
@@ -235,14 +225,12 @@ def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFr
         tied, {"tie": "tie"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
         by=["tier_end", "border", "place"],
     )
-    limits = last.agg(
-        F.sort_array(F.collect_list(F.struct(F.col("border"), F.col("value")))).alias("limits")
-    ).scalar()
+    # One row per border.
+    ends_found = sorted((row["border"], row["value"]) for row in last.collect())
     tier = F.lit(1)
-    for j in range(k - 1):
-        end = limits[j]
-        passed = (F.col(order) > end["border"]) | (
-            (F.col(order) == end["border"]) & (F.col(tie_break) > end["value"])
+    for border, tie in ends_found:
+        passed = (F.col(order) > F.lit(border)) | (
+            (F.col(order) == F.lit(border)) & (F.col(tie_break) > F.lit(tie))
         )
         tier = tier + F.when(passed, 1).otherwise(0)
     return df.withColumn(out, tier)

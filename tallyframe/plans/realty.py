@@ -64,8 +64,9 @@ def outlier_limits(listings: DataFrame) -> DataFrame:
 
 def without_outliers(listings: DataFrame) -> DataFrame:
     """Listings strictly inside the limits; missing optional measures are kept."""
-    limits = percentiles(listings, {n: LIMITS[n] for n in USED_LIMITS})
-    limit = limits.select(F.struct(*USED_LIMITS)).scalar()
+    row = percentiles(listings, {n: LIMITS[n] for n in USED_LIMITS}).first()
+    # Constants instead of a subquery, so that they reach the scan as filters.
+    limit = {n: F.lit(row[n]) for n in USED_LIMITS}
     price = F.col("price_1m")
     return listings.where(
         (price < limit["price_high"]) & (price > limit["price_low"])
