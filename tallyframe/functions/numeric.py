@@ -10,25 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 ROUNDING_TYPE = "decimal(28,6)"
+EXACT_TYPE = "decimal(28,10)"
 
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def exact(value: Column | str, scale: int = 2) -> Column:
-    """The value as a fixed-point number that sums without rounding error."""
-    return _col(value).cast(f"decimal(18,{scale})")
+def exact(value: Column | str) -> Column:
+    """The value as a fixed-point number that sums without rounding error.
 
+    Ten decimals keep measured quantities as well as money; sums reach 10^28.
+    """
+    return _col(value).cast(EXACT_TYPE)
 
-def total(value: Column | str, scale: int = 2) -> Column:
+
+def total(value: Column | str) -> Column:
     """Order-independent sum, returned as a double."""
-    return F.sum(exact(value, scale)).cast("double")
+    return F.sum(exact(value)).cast("double")
 
 
-def mean(value: Column | str, scale: int = 2) -> Column:
+def mean(value: Column | str) -> Column:
     """Order-independent average over the non-null values, as a double."""
-    return quotient(F.sum(exact(value, scale)), F.count(_col(value)))
+    return quotient(F.sum(exact(value)), F.count(_col(value)))
 
 
 def quotient(numerator: Column | str, denominator: Column | str) -> Column:

@@ -56,10 +56,13 @@ def within_lifetime(
     Events before the start have a negative day and stay.  Users without a start
     event drop out.
     """
-    return (
-        with_first_event(df, user, is_start, clock, "reg_dt")
-        .withColumn("time_after_reg", elapsed_days(clock, "reg_dt"))
-        .where(F.col("time_after_reg") < days)
+    return keep_lifetime(with_first_event(df, user, is_start, clock, "reg_dt"), clock, days)
+
+
+def keep_lifetime(df: DataFrame, clock: str, days: int) -> DataFrame:
+    """Rows less than ``days`` whole days after the start time in ``reg_dt``."""
+    return df.withColumn("time_after_reg", elapsed_days(clock, "reg_dt")).where(
+        F.col("time_after_reg") < days
     )
 
 

@@ -52,14 +52,14 @@ def retention(df: DataFrame, user: str, day: str, base_day) -> DataFrame:
 
 
 def group_means_with_total(
-    df: DataFrame, key: str, value: str, out: str, total_out: str, scale: int = 2
+    df: DataFrame, key: str, value: str, out: str, total_out: str
 ) -> DataFrame:
     """Mean per non-missing group next to the mean over all rows.
 
     The overall mean comes from the sums of the groups, so rows are read once.
     """
     sums = df.groupBy(key).agg(
-        F.sum(exact(value, scale)).alias("s"), F.count(value).alias("n")
+        F.sum(exact(value)).alias("s"), F.count(value).alias("n")
     )
     overall = sums.agg(quotient(F.sum("s"), F.sum("n"))).scalar()
     return sums.where(F.col(key).isNotNull()).select(

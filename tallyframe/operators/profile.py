@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.numeric import exact, quotient
+from tallyframe.functions.numeric import mean, quotient
 from tallyframe.operators.joins import null_safe_join
 from tallyframe.operators.ranking import percentiles
 
@@ -201,13 +201,13 @@ def pivot_count(
 
 
 def describe(
-    df: DataFrame, column: str, by: Sequence[str] = (), scale: int = 2
+    df: DataFrame, column: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Count, mean, deviation, variance, extremes and interpolated quartiles."""
     by = list(by)
     moments = df.groupBy(*by).agg(
         F.count(column).alias("count"),
-        quotient(F.sum(exact(column, scale)), F.count(column)).alias("mean"),
+        mean(column).alias("mean"),
         F.stddev_samp(F.col(column).cast("double")).alias("std"),
         F.var_samp(F.col(column).cast("double")).alias("var"),
         F.min(column).cast("double").alias("min"),

@@ -100,6 +100,19 @@ SQL = {
         WITH {_LIFETIME}
         SELECT user_id, "group", event_name, event_dt, details, reg_dt, time_after_reg
         FROM lifetime""",
+    "registration_window": """
+        WITH dated AS (
+            SELECT user_id, event_dt,
+                   MIN(CASE WHEN event_name = 'registration' THEN event_dt END)
+                       OVER (PARTITION BY user_id) AS reg_dt
+            FROM x_events),
+        numbered AS (
+            SELECT *, CAST(floor((epoch_us(event_dt) - epoch_us(reg_dt)) / 86400000000.0)
+                           AS INTEGER) AS day_no
+            FROM dated)
+        SELECT user_id, reg_dt, COUNT(*) AS events, MIN(day_no) AS first_day,
+               MAX(day_no) AS last_day
+        FROM numbered WHERE day_no < 7 GROUP BY user_id, reg_dt""",
     "lifetime_summary": f"""
         WITH {_LIFETIME}
         SELECT time_after_reg, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users

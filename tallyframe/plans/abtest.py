@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.functions.numeric import half_even, half_up, mean, total
 from tallyframe.functions.text import numeric_details, zone_regions
 from tallyframe.operators.experiment import (
-    conversion, conversion_diff, duration_days, group_imbalance, group_shares, lifetime_users,
-    sample_size_check, user_milestones, with_decision, within_lifetime, ztest_precondition,
+    conversion, conversion_diff, duration_days, group_imbalance, group_shares, keep_lifetime,
+    lifetime_users, sample_size_check, user_milestones, with_decision, ztest_precondition,
 )
-from tallyframe.operators.joins import exclude_ids, overlap
+from tallyframe.operators.joins import exclude_ids, first_events, overlap, split_join
 from tallyframe.operators.profile import duplicate_count
 from tallyframe.operators.stats import proportions_ztest
+from tallyframe.sources.staging import staged
 
 # Names of the tests, groups and events.
 TARGET_TEST = "interface_eu_test"
@@ -104,13 +105,14 @@ def participant_counts(participants: DataFrame, events: DataFrame) -> DataFrame:
 def lifetime_events(participants: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:
     """Events of the clean participants in the days before and after registration.
 
-    The registration time is looked up on the events themselves.  Participants
-    are unique per user and group, so they are attached at the end.
+    Registration time, group and device are joined per user first, so the events
+    meet one small row per user and are joined only once.  Duplicates are removed
+    from the events that are left.
     """
-    clean = clean_participants(participants)
-    of_users = events.dropDuplicates()
-    kept = within_lifetime(of_users, "user_id", _is_event(REGISTRATION), "event_dt", days)
-    return kept.join(clean, "user_id")
+    first = first_events(events, "user_id", _is_event(REGISTRATION), "event_dt", "reg_dt")
+    per_user = staged(first.join(clean_participants(participants), "user_id"), "lifetime-users")
+    joined = split_join(events, per_user, "user_id", "row_count")
+    return keep_lifetime(joined, "event_dt", days).dropDuplicates()
 
 
 def lifetime_summary(participants: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:

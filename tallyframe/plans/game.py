@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.numeric import exact, half_up, percent, quotient, total
+from tallyframe.functions.numeric import exact, half_up, mean, percent, quotient, total
 from tallyframe.functions.text import labelled
 from tallyframe.operators.joins import left_join_filtered, lookup
 from tallyframe.operators.metrics import entity_span, share_of_total
@@ -126,7 +126,7 @@ def amount_stats(events: DataFrame) -> DataFrame:
         total("amount").alias("total_amount"),
         F.min("amount").cast("double").alias("min_amount"),
         F.max("amount").cast("double").alias("max_amount"),
-        half_up(quotient(F.sum(exact("amount")), F.count("amount"))).alias("avg_amount"),
+        half_up(mean("amount")).alias("avg_amount"),
         half_up(F.stddev_samp(F.col("amount").cast("double"))).alias("stand_dev_amount"),
     ).withColumn("median_amount", middle.cast("double"))
 

@@ -21,6 +21,12 @@ def with_day(audition: DataFrame) -> DataFrame:
     return audition.withColumn("day", to_day("msk_business_dt_str")).drop("msk_business_dt_str")
 
 
+def rejected_dates(audition: DataFrame) -> DataFrame:
+    """Rows, and rows whose date text is not a date and would drop out; one row."""
+    bad = F.col("msk_business_dt_str").isNotNull() & to_day("msk_business_dt_str").isNull()
+    return audition.agg(F.count("*").alias("row_count"), F.count_if(bad).alias("rejected"))
+
+
 def _readers(audition: DataFrame, month: int) -> DataFrame:
     """Distinct (content, user) pairs of a calendar month, any year."""
     return with_day(audition).where(F.month("day") == month).select(

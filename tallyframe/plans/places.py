@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.functions.numeric import exact, half_even, half_up, mean, quotient
+from tallyframe.functions.numeric import half_even, half_up, mean
 from tallyframe.functions.text import bill_middle
 from tallyframe.operators.association import association, chi_square, contingency
 from tallyframe.operators.clean import (
@@ -254,7 +254,7 @@ def top_chains(places: DataFrame, k: int = 15) -> DataFrame:
     chains = places.where((F.col("chain") == 1) & F.col("name").isNotNull())
     counted = chains.groupBy("name").agg(
         F.count("id").alias("count_points"),
-        half_even(quotient(F.sum(exact("rating")), F.count("rating"))).alias("mean_rating"),
+        half_even(mean("rating")).alias("mean_rating"),
     )
     return top_k(counted, "count_points", k, ["name"])
 

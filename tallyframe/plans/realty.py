@@ -80,8 +80,8 @@ def _in_towns(listings: DataFrame, types: DataFrame, town_type: str) -> DataFram
     return listings.join(types.where(F.col("type") == town_type).select("type_id"), "type_id")
 
 
-def _rounded_mean(column: str, scale: int, digits: int = 2) -> Column:
-    return half_up(mean(column, scale), digits)
+def _rounded_mean(column: str, digits: int = 2) -> Column:
+    return half_up(mean(column), digits)
 
 
 def time_on_market_segments(
@@ -107,10 +107,10 @@ def time_on_market_segments(
     grouped = segmented.groupBy(*keys).agg(
         F.count("*").alias("flats"),
         F.sum("is_apartment").alias("apartments"),
-        _rounded_mean("price_1m", 2).alias("price_per_m2"),
-        _rounded_mean("total_area", 4).alias("total_area"),
-        _rounded_mean("rooms", 2, 0).alias("rooms"),
-        _rounded_mean("balcony", 2, 0).alias("balconies"),
+        _rounded_mean("price_1m").alias("price_per_m2"),
+        _rounded_mean("total_area").alias("total_area"),
+        _rounded_mean("rooms", 0).alias("rooms"),
+        _rounded_mean("balcony", 0).alias("balconies"),
     )
     floors = percentiles(segmented, {"floors": ("floors_total", "0.5")}, by=keys)
     shares = share_within(grouped, ["region"], "flats", "share")
@@ -136,8 +136,8 @@ def seasonality(
             towns.withColumn("day", day).where(F.year("day").between(*years))
             .groupBy(F.month("day").alias("month")).agg(
                 F.count("*").alias(f"{prefix}_count_adv"),
-                _rounded_mean("price_1m", 2).alias(f"{prefix}_avg_price_1m"),
-                _rounded_mean("total_area", 4).alias(f"{prefix}_avg_area"),
+                _rounded_mean("price_1m").alias(f"{prefix}_avg_price_1m"),
+                _rounded_mean("total_area").alias(f"{prefix}_avg_area"),
             )
         )
         return rank_groups(grouped, f"{prefix}_count_adv", f"{prefix}_rank")
@@ -163,9 +163,9 @@ def top_towns(
     grouped = towns.groupBy("city").agg(
         F.count("*").alias("listings"),
         percent(F.count_if(F.col("days_exposition").isNotNull()), F.count("*")).alias("closed_share"),
-        _rounded_mean("price_1m", 2).alias("price_per_m2"),
-        _rounded_mean("total_area", 4).alias("total_area"),
-        _rounded_mean("days_exposition", 2, 0).alias("days_exposition"),
+        _rounded_mean("price_1m").alias("price_per_m2"),
+        _rounded_mean("total_area").alias("total_area"),
+        _rounded_mean("days_exposition", 0).alias("days_exposition"),
     )
     return top_k(grouped, "listings", k, ["city"])
 
@@ -177,10 +177,10 @@ def market_overview(flats: DataFrame) -> DataFrame:
     """Listings, average areas and average rooms; one row."""
     return flats.agg(
         F.count("*").alias("listings"),
-        _rounded_mean("total_area", 4).alias("total_area"),
-        _rounded_mean("living_area", 4).alias("living_area"),
-        _rounded_mean("kitchen_area", 5).alias("kitchen_area"),
-        _rounded_mean("rooms", 2).alias("rooms"),
+        _rounded_mean("total_area").alias("total_area"),
+        _rounded_mean("living_area").alias("living_area"),
+        _rounded_mean("kitchen_area").alias("kitchen_area"),
+        _rounded_mean("rooms").alias("rooms"),
     )
 
 
@@ -188,8 +188,8 @@ def listing_dynamics(advertisement: DataFrame) -> DataFrame:
     """Listings, average price and average exposition per opening month."""
     return advertisement.groupBy(month_start("first_day_exposition").alias("month")).agg(
         F.count("*").alias("listings"),
-        _rounded_mean("last_price", 2).alias("avg_price"),
-        _rounded_mean("days_exposition", 2).alias("avg_days_exposition"),
+        _rounded_mean("last_price").alias("avg_price"),
+        _rounded_mean("days_exposition").alias("avg_days_exposition"),
     ).orderBy("month")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.operators import profile
+from tallyframe.operators import experiment, profile
 from tallyframe.plans import abtest, game, handoff, hypothesis, library, places, realty
 from tallyframe.sources.files import load
 from tallyframe.sources.proxies import proxy
@@ -103,6 +103,16 @@ def _lifetime_rows(participants: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _registration_window(events: DataFrame) -> DataFrame:
+    kept = experiment.within_lifetime(
+        events, "user_id", F.col("event_name") == abtest.REGISTRATION, "event_dt", 7
+    )
+    return kept.groupBy("user_id", "reg_dt").agg(
+        F.count("*").alias("events"), F.min("time_after_reg").alias("first_day"),
+        F.max("time_after_reg").alias("last_day"),
+    )
+
+
 def _participants(participants: DataFrame) -> DataFrame:
     return abtest.clean_participants(participants).select("user_id", "group", "ab_test", "device")
 
@@ -131,6 +141,7 @@ QUERIES: dict[str, Query] = {
         game.purchase_frequency_tiers, "g_users", "g_events", min_events=5
     ),
     # online library
+    "rejected_dates": _on(library.rejected_dates, "l_audition"),
     "mau_top_authors": _on(library.mau_top_authors, *LIBRARY),
     "mau_top_titles": _on(library.mau_top_titles, *LIBRARY),
     "daily_retention": _on(library.daily_retention, "l_daily", base_day="2024-01-21"),
@@ -170,6 +181,7 @@ QUERIES: dict[str, Query] = {
     "clean_participants": _on(_participants, "x_participants"),
     "participant_counts": _on(abtest.participant_counts, *X_TABLES),
     "lifetime_events": _on(_lifetime_rows, *X_TABLES),
+    "registration_window": _on(_registration_window, "x_events"),
     "lifetime_summary": _on(abtest.lifetime_summary, *X_TABLES),
     "power_check": _on(abtest.power_check, *X_TABLES),
     "conversion_by_group": _on(abtest.conversion_by_group, *X_TABLES),

@@ -266,3 +266,25 @@ def test_exclusion_keeps_rows_with_a_missing_id(spark):
     ids = spark.createDataFrame([(2,), (None,)], "id long")
     assert sorted(str(r["id"]) for r in joins.exclude_ids(df, ids, "id").collect()) == ["1", "None"]
     assert [r["id"] for r in joins.keep_ids(df, ids, "id").collect()] == [2]
+
+
+@pytest.mark.parametrize("hot_share", [1, 3, 1000])
+def test_split_join_equals_a_plain_join(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1200, 7).otherwise(F.col("id") % 100).alias("user"), "id")
+    per_key = rows.groupBy("user").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(
+        F.col("user") != 5)
+    got = joins.split_join(rows, per_key, "user", "n")
+    plain = rows.join(per_key.drop("n"), "user")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_means_keep_more_than_two_decimals(spark):
+    df = spark.createDataFrame([(0.00123,), (0.00456,)], "v double")
+    assert profile.describe(df, "v").first()["mean"] == pytest.approx(0.002895, abs=1e-9)
+
+
+def test_text_that_is_no_date_is_counted(spark):
+    df = spark.createDataFrame([("2024-12-02",), ("2024-13-40",), (None,)], "msk_business_dt_str string")
+    assert tuple(library.rejected_dates(df).first()) == (3, 1)
