@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tallyframe.plans.registry import QUERIES  # noqa: E402
+from tallyframe.session import configure  # noqa: E402
 
 HEADLINE = (
     "payer_share_by_dim", "amount_stats", "payer_vs_nonpayer", "item_popularity",
@@ -38,11 +39,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("tallyframe-bench")
+        configure(SparkSession.builder).master(f"local[{cpus}]").appName("tallyframe-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )

@@ -45,16 +45,16 @@ def keyword_flag(df: DataFrame, column: str, words: Sequence[str], out: str) ->
     return df.withColumn(out, contains_all(column, words))
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row of each key by ``order``; missing keys are equal.
+def dedupe_first(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """Keep the row with the smallest id of each key; missing keys are equal.
 
-    The smallest row is a minimum over a struct, which every task reduces before
-    the shuffle: a key shared by a large part of the table costs one row per task
-    instead of a sort of all its rows in one place.
+    ``row_id`` must be unique.  Only keys and ids are grouped, and every task
+    reduces its share first, so a key shared by a large part of the table costs
+    one row per task.  The kept rows are then picked by id with just the columns
+    that the caller uses.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first"))
-    return first.select(*keys, "first.*").select(*df.columns)
+    kept = df.groupBy(*keys).agg(F.min(row_id).alias(row_id)).select(row_id)
+    return df.join(kept, row_id, "left_semi")
 
 
 def drop_ambiguous(df: DataFrame, key: str) -> DataFrame:

@@ -213,14 +213,22 @@ def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFr
             _rank_struct(str(j), F.lit(j) * size + F.least(F.lit(j), extra)) for j in range(1, k)
         ])
 
-    borders = order_statistics(df, {"order": order}, ends).select(
-        "label", F.col("value").alias("border"), (F.col("rank") - F.col("below")).alias("place")
+    # At most k - 1 rows: the value at the end of each tier and the place of the
+    # last row among the rows that share this value.
+    borders = [
+        (int(r["label"]), r["value"], r["rank"] - r["below"])
+        for r in order_statistics(df, {"order": order}, ends).collect()
+    ]
+    if not borders:
+        return df.withColumn(out, F.lit(1))
+    kind = df.schema[order].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(
+        borders, f"tier_end int, border {kind}, place bigint"
     )
-    # At most k - 1 rows by construction.
-    tied = df.join(F.broadcast(borders), F.col(order) == F.col("border")).select(
-        F.col("label").alias("tier_end"), "border", "place", F.col(tie_break).alias("tie")
+    tied = df.join(F.broadcast(table), F.col(order) == F.col("border")).select(
+        "tier_end", "border", "place", F.col(tie_break).alias("tie")
     )
-    # The rank inside the tied rows is a value of the border row, carried as key.
+    # The rank inside the tied rows differs by border, so it is part of the key.
     last = order_statistics(
         tied, {"tie": "tie"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
         by=["tier_end", "border", "place"],

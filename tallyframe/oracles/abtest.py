@@ -96,6 +96,10 @@ SQL = {
                CAST(floor((epoch_us(MAX(event_dt)) - epoch_us(MIN(event_dt))) / 86400000000.0)
                     AS INTEGER) AS duration_days
         FROM clean c LEFT JOIN x_events e ON e.user_id = c.user_id""",
+    "event_names": f"""
+        WITH {_CLEAN}
+        SELECT event_name, COUNT(DISTINCT c.user_id) AS users
+        FROM clean c LEFT JOIN x_events e ON e.user_id = c.user_id GROUP BY event_name""",
     "lifetime_events": f"""
         WITH {_LIFETIME}
         SELECT user_id, "group", event_name, event_dt, details, reg_dt, time_after_reg

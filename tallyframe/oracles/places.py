@@ -174,6 +174,14 @@ SQL = {
         WITH {_PLACES}
         SELECT name, COUNT(*) AS places FROM places GROUP BY name
         ORDER BY places DESC, name LIMIT 20""",
+    "name_profile": f"""
+        WITH {_PLACES}
+        SELECT category, COUNT(*) AS places, COUNT(CASE WHEN chain = 1 THEN 1 END) AS chain_places
+        FROM places WHERE name = 'hot ring' GROUP BY category""",
+    "place_values": f"WITH {_PLACES}\n" + union(
+        f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM places"
+        for c in ("category", "district", "price", "chain")
+    ),
     "chain_share": f"""
         WITH {_PLACES}
         SELECT category, {r("AVG(CASE WHEN chain = 0 THEN 1.0 ELSE 0.0 END)", 6)} AS chain_0,

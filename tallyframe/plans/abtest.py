@@ -102,6 +102,18 @@ def participant_counts(participants: DataFrame, events: DataFrame) -> DataFrame:
     return counts.select("users", "users_with_events").withColumn("duration_days", span.scalar())
 
 
+def event_names(participants: DataFrame, events: DataFrame) -> DataFrame:
+    """Kinds of events of the clean participants, with the users who have them.
+
+    Participants without any event count under a missing kind.
+    """
+    users = clean_participants(participants).select("user_id").distinct()
+    kinds = events.select("user_id", "event_name").distinct()
+    return users.join(kinds, "user_id", "left").groupBy("event_name").agg(
+        F.count("*").alias("users")
+    )
+
+
 def lifetime_events(participants: DataFrame, events: DataFrame, days: int = 7) -> DataFrame:
     """Events of the clean participants in the days before and after registration.
 

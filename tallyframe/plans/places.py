@@ -97,7 +97,7 @@ def normalised_places(df: DataFrame) -> DataFrame:
 
 def clean_places(
     info: DataFrame,
-    price: DataFrame,
+    price: DataFrame | None = None,
     districts: Mapping[str, str] = DISTRICTS,
     category: tuple[str, str] = BAR_CATEGORY,
     words: Sequence[str] = ROUND_THE_CLOCK,
@@ -105,10 +105,12 @@ def clean_places(
     """The cleaned table of places that all later questions use.
 
     Of several places with one name and address the one with the lowest id stays.
-    The cleaning of the remaining columns works row by row and follows the
-    deduplication, so it runs on fewer rows.
+    Prices are attached by id after that, to fewer rows, and only for the questions
+    that need them.
     """
-    unique = dedupe_first(normalised_places(merged(info, price)), ["name", "address"], ["id"])
+    unique = dedupe_first(normalised_places(info), ["name", "address"], "id")
+    if price is not None:
+        unique = merged(unique, price)
     unified = map_values(replace_text(unique, "category", *category), "district", districts)
     return presence_flag(
         keyword_flag(unified, "hours", words, "is_24_7"), "hours", "is_hours"
@@ -153,6 +155,22 @@ def name_counts(places: DataFrame, k: int = 20) -> DataFrame:
     return top_k(counted, "places", k, ["name"])
 
 
+def name_profile(places: DataFrame, name: str) -> DataFrame:
+    """Categories of the places with one name, and how many belong to a chain."""
+    return places.where(F.col("name") == name).groupBy("category").agg(
+        F.count("*").alias("places"), F.count_if(F.col("chain") == 1).alias("chain_places")
+    )
+
+
+def place_values(places: DataFrame) -> DataFrame:
+    """The different values of the category columns, missing ones included."""
+    columns = ("category", "district", "price", "chain")
+    return places.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        for c in columns
+    ]))).distinct()
+
+
 def chain_share(places: DataFrame) -> DataFrame:
     """Fraction of chain and independent places, overall and per category."""
     places = staged(places.select("category", "chain"), "chain-flags")

@@ -41,12 +41,11 @@ def _on_game_tables(plan: Callable) -> Query:
     return query
 
 
-def _on_places(plan: Callable, **params) -> Query:
+def _on_places(plan: Callable, priced: bool = False) -> Query:
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        cleaned = places.clean_places(
-            proxy(spark, directory, "e_info"), proxy(spark, directory, "e_price")
-        )
-        return plan(cleaned, **params)
+        info = proxy(spark, directory, "e_info")
+        price = proxy(spark, directory, "e_price") if priced else None
+        return plan(places.clean_places(info, price))
 
     return query
 
@@ -56,7 +55,7 @@ def _row_number_check(spark: SparkSession, directory: str) -> DataFrame:
     return profile.index_column_check(part, "p_partkey")
 
 
-def _same_status(spark: SparkSession, directory: str) -> DataFrame:
+def _quantity_is_line_number(spark: SparkSession, directory: str) -> DataFrame:
     lineitem = load(spark, directory, "lineitem")
     return profile.match_count(
         lineitem.select(F.floor("l_quantity").alias("a"), F.col("l_linenumber").alias("b")),
@@ -72,6 +71,10 @@ def _clean_place_rows(places_df: DataFrame) -> DataFrame:
     )
 
 
+def _one_name(places_df: DataFrame) -> DataFrame:
+    return places.name_profile(places_df, "hot ring")
+
+
 def _typed_ratings(info: DataFrame) -> DataFrame:
     return places.optimised_types(info).select(
         "id", F.col("rating").cast("double").alias("rating"), F.col("chain").cast("int").alias("chain")
@@ -165,7 +168,7 @@ QUERIES: dict[str, Query] = {
     "top_towns_by_measure": _on(realty.top_towns_by_measure, *LISTINGS, "r_city"),
     # two-city comparison
     "row_number_check": _row_number_check,
-    "column_match": _same_status,
+    "column_match": _quantity_is_line_number,
     "group_integrity": _on(hypothesis.group_integrity, "h_sample", cities=CITIES),
     "city_shares": _on(hypothesis.city_shares, "h_sample"),
     "group_moments": _on(hypothesis.group_moments, "h_sample"),
@@ -180,6 +183,7 @@ QUERIES: dict[str, Query] = {
     "assignment_shares": _on(abtest.assignment_shares, "x_participants"),
     "clean_participants": _on(_participants, "x_participants"),
     "participant_counts": _on(abtest.participant_counts, *X_TABLES),
+    "event_names": _on(abtest.event_names, *X_TABLES),
     "lifetime_events": _on(_lifetime_rows, *X_TABLES),
     "registration_window": _on(_registration_window, "x_events"),
     "lifetime_summary": _on(abtest.lifetime_summary, *X_TABLES),
@@ -195,9 +199,11 @@ QUERIES: dict[str, Query] = {
     "optimised_types": _on(_typed_ratings, "e_info"),
     "missingness_by_dim": _on(places.missingness_by_dim, "e_info"),
     "duplicate_places": _on(places.duplicate_places, "e_info"),
-    "clean_places": _on_places(_clean_place_rows),
+    "clean_places": _on_places(_clean_place_rows, priced=True),
     "category_distribution": _on_places(places.category_distribution),
     "name_counts": _on_places(places.name_counts),
+    "name_profile": _on_places(_one_name),
+    "place_values": _on_places(places.place_values, priced=True),
     "chain_share": _on_places(places.chain_share),
     "seats_summary": _on_places(places.seats_summary),
     "seats_box": _on_places(places.seats_box),
@@ -205,13 +211,13 @@ QUERIES: dict[str, Query] = {
     "rating_summary": _on_places(places.rating_summary),
     "rating_histogram": _on_places(places.rating_histogram),
     "rating_by_category": _on_places(places.rating_by_category),
-    "rating_chi_square": _on_places(places.rating_chi_square),
-    "rating_association": _on_places(places.rating_association),
-    "rating_by_price": _on_places(places.rating_by_price),
+    "rating_chi_square": _on_places(places.rating_chi_square, priced=True),
+    "rating_association": _on_places(places.rating_association, priced=True),
+    "rating_by_price": _on_places(places.rating_by_price, priced=True),
     "top_chains": _on_places(places.top_chains),
     "top_chain_categories": _on_places(places.top_chain_categories),
-    "bill_summary": _on_places(places.bill_summary),
-    "bill_by_district": _on_places(places.bill_by_district),
+    "bill_summary": _on_places(places.bill_summary, priced=True),
+    "bill_by_district": _on_places(places.bill_by_district, priced=True),
     "bill_ranges": _on(places.bill_ranges, "e_price"),
     # file round trips
     "event_files": _on(handoff.event_files, "x_events"),

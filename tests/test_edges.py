@@ -144,8 +144,9 @@ def test_keep_first_takes_the_lowest_id_and_all_columns(spark):
         [(3, "a", "x", 7), (1, "a", "x", None), (2, "b", None, 5), (9, "b", None, 1)],
         "id long, name string, address string, seats int",
     )
-    got = clean.dedupe_first(df, ["name", "address"], ["id"]).orderBy("id").collect()
-    assert [tuple(r) for r in got] == [(1, "a", "x", None), (2, "b", None, 5)]
+    got = clean.dedupe_first(df, ["name", "address"], "id").orderBy("id").collect()
+    assert [(r["id"], r["name"], r["address"], r["seats"]) for r in got] == [
+        (1, "a", "x", None), (2, "b", None, 5)]
     assert profile.duplicate_count(df, ["name", "address"]).first()["duplicates"] == 2
 
 
