@@ -10,7 +10,13 @@ from tallyframe.functions.text import contains_all, mapped, normalised
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(subset))
+    """Rows with a value in every listed column; not-a-number counts as missing."""
+    kinds = dict(df.dtypes)
+    for c in subset:
+        df = df.where(F.col(c).isNotNull())
+        if kinds[c] in ("double", "float"):
+            df = df.where(~F.isnan(c))
+    return df
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str], strict: bool = True) -> DataFrame:

@@ -49,11 +49,20 @@ def exclude_ids(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> Data
     return df.join(ids.select(*keys).distinct(), keys, "left_anti")
 
 
-def cohort_activity(df: DataFrame, user: str, day: str, base_day) -> DataFrame:
-    """Distinct (user, day) pairs from the base day on, for users active on it."""
+def cohort_activity(df: DataFrame, user: str, day: str, base_day, out: str) -> DataFrame:
+    """Distinct (user, day offset) pairs from the base day on, for users active on it.
+
+    One grouping by user replaces the join of the base day's users with all later
+    activity: each task collects the distinct offsets of a user, a set no longer
+    than the calendar, and users without offset 0 are dropped.
+    """
     base = F.lit(base_day).cast("date")
-    active = df.select(user, day).where(F.col(day) >= base).distinct()
-    return active.join(active.where(F.col(day) == base).select(user), user, "left_semi")
+    offsets = df.where((F.col(day) >= base) & F.col(user).isNotNull()).groupBy(user).agg(
+        F.collect_set(F.datediff(F.col(day), base)).alias("offsets")
+    )
+    return offsets.where(F.array_contains("offsets", 0)).select(
+        user, F.explode("offsets").alias(out)
+    )
 
 
 def overlap(df: DataFrame, key: str, in_a: Column, in_b: Column) -> DataFrame:

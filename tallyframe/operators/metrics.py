@@ -44,10 +44,8 @@ def entity_span(df: DataFrame, key: Sequence[str], day: str, out: str, count: st
 
 def retention(df: DataFrame, user: str, day: str, base_day) -> DataFrame:
     """Users of the base day seen again per day offset, and their rate."""
-    pairs = cohort_activity(df, user, day, base_day)
-    per_day = pairs.groupBy(
-        F.datediff(F.col(day), F.lit(base_day).cast("date")).alias("day_since_install")
-    ).agg(F.count("*").alias("retained_users"))
+    pairs = cohort_activity(df, user, day, base_day, "day_since_install")
+    per_day = pairs.groupBy("day_since_install").agg(F.count("*").alias("retained_users"))
     return ratio_to_max(per_day, "retained_users", "retention_rate")
 
 

@@ -30,13 +30,15 @@ SLICES = 65536
 ONE_TASK_ROWS = 2_000_000
 # exp(-745) is the smallest positive double, so every logarithm stays above it.
 _LOG_FLOOR = 746
+_LARGEST = 1.7976931348623157e308
 
 
 def _cell(value: Column) -> Column:
     """Index of the logarithmic grid cell; never decreases with the value."""
     double = value.cast("double")
     magnitude = (
-        F.floor(F.ln(F.abs(double)) * CELLS_PER_E_FOLD) + _LOG_FLOOR * CELLS_PER_E_FOLD
+        F.floor(F.ln(F.least(F.abs(double), F.lit(_LARGEST))) * CELLS_PER_E_FOLD)
+        + _LOG_FLOOR * CELLS_PER_E_FOLD
     )
     return F.when(double > 0, magnitude).when(double < 0, -magnitude).otherwise(F.lit(0))
 
@@ -49,8 +51,8 @@ def order_statistics(
 ) -> DataFrame:
     """The values that stand at given ranks, per group and measure.
 
-    ``values`` maps a measure name to a numeric column; missing values do not
-    count.  ``ranks`` takes the column holding a group's row count and returns an
+    ``values`` maps a measure name to a numeric column; missing values and
+    not-a-number do not count.  ``ranks`` takes the column holding a group's row count and returns an
     array column of structs ``(label, rank)`` with 1-based ranks.  The result has
     the group columns, ``measure``, ``total`` (the group's row count), ``label``,
     ``rank``, ``value`` and ``below``, the number of rows whose value is smaller.
@@ -59,7 +61,8 @@ def order_statistics(
     key = [*by, "measure"]
     measures = df.select(*by, *[F.col(c).alias(m) for m, c in values.items()])
     rows = measures.unpivot(by, list(values), "measure", "v")
-    rows = rows.where(F.col("v").isNotNull()).withColumn("cell", _cell(F.col("v")))
+    known = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
+    rows = rows.where(known).withColumn("cell", _cell(F.col("v")))
 
     cells = rows.groupBy(*key, "cell").agg(
         F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")

@@ -117,3 +117,14 @@ def test_top_k_settles_ties_and_rank_groups_is_dense(spark):
     assert [r["name"] for r in ranking.top_k(df, "n", 3, ["name"]).collect()] == ["c", "a", "b"]
     ranks = {r["name"]: r["rank"] for r in ranking.rank_groups(df, "n", "rank").collect()}
     assert ranks == {"c": 1, "a": 2, "b": 2, "d": 3}
+
+
+def test_infinite_and_missing_numbers(spark, slicing):
+    inf = math.inf
+    values = [inf, -inf, 1e308, 1.0, float("nan"), None, inf, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = sorted(v for v in values if v is not None and not math.isnan(v))
+    for i in range(1, len(known) + 1):
+        p = Decimal(i) / len(known)
+        row = ranking.percentiles(df, {"q": ("v", str(round(p - Decimal("0.01"), 6)))}).first()
+        assert row["q"] == known[i - 1]
