@@ -37,7 +37,7 @@ HEADLINE = (
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         configure(SparkSession.builder).master(f"local[{cpus}]").appName("tallyframe-bench")
         .config("spark.ui.enabled", "false")

@@ -36,10 +36,7 @@ LIMITS = {
 }
 USED_LIMITS = [name for name in LIMITS if name != "area_high"]
 
-LISTING_COLUMNS = (
-    "id", "city_id", "type_id", "total_area", "rooms", "balcony", "ceiling_height",
-    "floors_total", "is_apartment", "first_day_exposition", "days_exposition", "price_1m",
-)
+MEASURES = ("price_1m", "total_area", "rooms", "balcony", "ceiling_height")
 
 
 def priced_listings(flats: DataFrame, advertisement: DataFrame) -> DataFrame:
@@ -49,9 +46,14 @@ def priced_listings(flats: DataFrame, advertisement: DataFrame) -> DataFrame:
     )
 
 
-def staged_listings(flats: DataFrame, advertisement: DataFrame) -> DataFrame:
-    """The joined listings, written once: limits and reports read them repeatedly."""
-    return staged(priced_listings(flats, advertisement).select(*LISTING_COLUMNS), "listings")
+def staged_listings(flats: DataFrame, advertisement: DataFrame, *columns: str) -> DataFrame:
+    """The joined listings, written once: limits and reports read them repeatedly.
+
+    Only the measures with a limit and the named columns are written.
+    """
+    return staged(
+        priced_listings(flats, advertisement).select(*MEASURES, *columns), "listings"
+    )
 
 
 def outlier_limits(listings: DataFrame) -> DataFrame:
@@ -96,7 +98,10 @@ def time_on_market_segments(
     other_region: str = OTHER_REGION,
 ) -> DataFrame:
     """Closed listings by region and time on market."""
-    kept = without_outliers(staged_listings(flats, advertisement))
+    kept = without_outliers(staged_listings(
+        flats, advertisement,
+        "city_id", "type_id", "floors_total", "is_apartment", "days_exposition",
+    ))
     closed = _in_towns(kept.where(F.col("days_exposition").isNotNull()), types, town_type)
     segmented = lookup(closed, city, "city_id").select(
         labelled("city", {main_city: main_city}, other_region).alias("region"),
@@ -128,7 +133,10 @@ def seasonality(
     closed: tuple[int, int] = (2017, 2018),
 ) -> DataFrame:
     """Calendar months by opened and by closed listings, years pooled."""
-    towns = _in_towns(without_outliers(staged_listings(flats, advertisement)), types, town_type)
+    kept = without_outliers(staged_listings(
+        flats, advertisement, "type_id", "first_day_exposition", "days_exposition"
+    ))
+    towns = _in_towns(kept, types, town_type)
     last_day = F.date_add("first_day_exposition", F.col("days_exposition"))
 
     def by_month(day: Column, years: tuple[int, int], prefix: str) -> DataFrame:
@@ -158,7 +166,9 @@ def top_towns(
     k: int = 15,
 ) -> DataFrame:
     """Towns outside the main city with the most listings; no filter on town type."""
-    kept = without_outliers(staged_listings(flats, advertisement))
+    kept = without_outliers(staged_listings(
+        flats, advertisement, "city_id", "days_exposition"
+    ))
     towns = kept.join(city.where(F.col("city") != main_city), "city_id")
     grouped = towns.groupBy("city").agg(
         F.count("*").alias("listings"),
