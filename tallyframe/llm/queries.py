@@ -7,16 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import decontaminate, language, packing, pii, tokens
+from tallyframe.llm import (
+    decontaminate, language, minhash, packing, pii, sharding, tokens, urls, vectors, warc,
+)
 from tallyframe.sources.files import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, directory: str) -> DataFrame:
+    """The archive of all pages, written to the shared folder and read back."""
+    folder = warc.new_folder(spark)
+    warc.write_archive(load(spark, directory, "pages"), folder)
+    return warc.read_archive(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op2_urls(spark: SparkSession, directory: str) -> DataFrame:
+    model = urls.train(urls.labelled_table(spark))
+    return urls.judge_urls(load(spark, directory, "pages"), model)
+
+
 def op3_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.summarise_pii(load(spark, directory, "documents"))
 
 
+def op4_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, directory, "documents"))
+
+
 def op5_language(spark: SparkSession, directory: str) -> DataFrame:
     """Trained on the documents that are not held out; predicted for all."""
     docs = load(spark, directory, "documents")
@@ -30,6 +50,14 @@ def op6_tokens(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.count_tokens(load(spark, directory, "documents"), path, limit=1024)
 
 
+def op7_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    return vectors.near_vectors(load(spark, directory, "embeddings"))
+
+
+def op8_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    return sharding.shard_documents(load(spark, directory, "documents"), shards=24)
+
+
 def op9_packing(spark: SparkSession, directory: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(load(spark, directory, "documents"), path, end_id=2)
@@ -41,9 +69,14 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op2_urls": op2_urls,
     "op3_pii": op3_pii,
+    "op4_minhash": op4_minhash,
     "op5_language": op5_language,
     "op6_tokens": op6_tokens,
+    "op7_vectors": op7_vectors,
+    "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }
