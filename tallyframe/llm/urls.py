@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 MOST_LABELLED = 20_000
+BLOCK_FROM = 0.7  # a url unlike all labelled ones scores about 0.3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (verdict, host, path); the longest rule that fits decides.
@@ -161,7 +162,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, model: Model, rules: Sequence[tuple[str, str, str]] = RULES,
-    url: str = "url", keep: tuple[str, ...] = ("page_id",),
+    url: str = "url", keep: tuple[str, ...] = ("page_id",), block_from: float = BLOCK_FROM,
 ) -> DataFrame:
     """Append ``host``, ``path``, ``rule``, ``verdict`` and the model's ``score``.
 
@@ -184,7 +185,7 @@ def judge_urls(
     scored = split.withColumn("score", score("host", "path"))
     return scored.select(
         *keep, "host", "path", rule.alias("rule"),
-        F.coalesce(ruled, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(ruled, F.when(F.col("score") >= block_from, "block").otherwise("allow")).alias("verdict"),
         "score",
     )
 

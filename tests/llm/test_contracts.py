@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tallyframe.llm import sharding, vectors
+from tallyframe.llm import sharding, urls, vectors
 from tallyframe.llm.queries import QUERIES
 from tallyframe.sources.files import load
 
@@ -67,7 +67,7 @@ def test_op2_urls(spark, data_dir):
         fit = [r for r in rules if ("." + host).endswith("." + r[1]) and path.startswith(r[2])]
         best = max(fit, key=lambda r: len(r[1] + r[2]), default=None)
         assert row.rule == (best and best[1] + best[2])
-        assert row.verdict == (best[0] if best else "block" if row.score >= 0.5 else "allow")
+        assert row.verdict == (best[0] if best else "block" if row.score >= urls.BLOCK_FROM else "allow")
     unwanted = ours[ours.rule.isna() & ours.host.str.contains("spam-farm|casino-win|cheap-pills")]
     assert (unwanted.verdict == "block").all()
 
