@@ -1,15 +1,16 @@
 """Exact sums, safe quotients and the two rounding rules.
 
 Money and measures are summed as decimals so that a result does not depend on
-the order in which executors deliver their partial sums.  Quotients are doubles
-and are rounded through a decimal, which rounds the printed digits of the value.
+the order in which executors deliver their partial sums; doubles that a decimal
+does not hold are summed as doubles.  Not-a-number counts as missing.  Quotients
+are doubles and are rounded once, on their printed digits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-ROUNDING_TYPE = "decimal(28,6)"
+PRINTED_TYPE = "decimal(38,15)"
 EXACT_TYPE = "decimal(28,10)"
 
 
@@ -25,14 +26,26 @@ def exact(value: Column | str) -> Column:
     return _col(value).cast(EXACT_TYPE)
 
 
+def known(value: Column | str) -> Column:
+    """The value, with not-a-number as null."""
+    return F.when(~F.isnan(_col(value).cast("double")), _col(value))
+
+
 def total(value: Column | str) -> Column:
-    """Order-independent sum, returned as a double."""
-    return F.sum(exact(value)).cast("double")
+    """Sum over the known values, as a double.
+
+    Independent of the order of rows if ten decimals hold every value exactly,
+    as they do for money and measures; other values are summed as doubles.
+    """
+    x = known(value)
+    fixed = x.try_cast(EXACT_TYPE)
+    held = F.bool_and(fixed.cast("double").eqNullSafe(x.cast("double")))
+    return F.when(held, F.try_sum(fixed).cast("double")).otherwise(F.sum(x.cast("double")))
 
 
 def mean(value: Column | str) -> Column:
-    """Order-independent average over the non-null values, as a double."""
-    return quotient(F.sum(exact(value)), F.count(_col(value)))
+    """Average over the known values, as a double; the same rule as ``total``."""
+    return quotient(total(value), F.count(known(value)))
 
 
 def quotient(numerator: Column | str, denominator: Column | str) -> Column:
@@ -41,18 +54,24 @@ def quotient(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def half_up(value: Column | str, scale: int = 2) -> Column:
-    """Round half away from zero, the rule of SQL numerics."""
-    return F.round(_col(value).cast(ROUNDING_TYPE), scale).cast("double")
+    """Round half away from zero, the rule of SQL numerics.
+
+    The first fifteen decimals of the printed value decide; only values beyond
+    10^23 are rounded as doubles.
+    """
+    printed = _col(value).try_cast(PRINTED_TYPE)
+    return F.coalesce(F.round(printed, scale).cast("double"), F.round(_col(value), scale).cast("double"))
 
 
 def half_even(value: Column | str, scale: int = 2) -> Column:
     """Round half to even, the rule of the notebook studies."""
-    return F.bround(_col(value).cast(ROUNDING_TYPE), scale).cast("double")
+    printed = _col(value).try_cast(PRINTED_TYPE)
+    return F.coalesce(F.bround(printed, scale).cast("double"), F.bround(_col(value), scale).cast("double"))
 
 
 def percent(numerator: Column | str, denominator: Column | str, scale: int = 2) -> Column:
     """Share of two aggregates in percent, rounded half away from zero."""
-    return half_up(quotient(numerator, denominator) * 100, scale)
+    return half_up(quotient(_col(numerator) * 100, denominator), scale)
 
 
 def within_or_null(

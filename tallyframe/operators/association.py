@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.numeric import quotient
+from tallyframe.sources.staging import staged
 
 # The solver travels to the workers by value; they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,9 +69,11 @@ def contingency(
 def chi_square(table: DataFrame) -> DataFrame:
     """Chi-square and Cramer's V per column from its contingency table.
 
-    The sum over all cells of (observed - expected)^2 / expected equals the sum
-    of n^2 / (row * column) over the filled cells, times the total, less the total.
+    Cells without rows add their expected counts, which together are the total
+    less the expected counts of the filled cells.  Counts are divided as doubles
+    before they are multiplied.
     """
+    table = staged(table, "contingency")
     by_x = table.groupBy("column_name", "x").agg(F.sum("n").alias("x_n"))
     by_y = table.groupBy("column_name", "y").agg(F.sum("n").alias("y_n"))
     sizes = by_x.groupBy("column_name").agg(F.sum("x_n").alias("total"), F.count("*").alias("nx"))
@@ -79,14 +82,19 @@ def chi_square(table: DataFrame) -> DataFrame:
     )
     cells = (
         table.join(by_x, ["column_name", "x"]).join(by_y, ["column_name", "y"])
+        .join(sizes.select("column_name", "total"), "column_name")
+        .withColumn("e", quotient("x_n", "total") * F.col("y_n"))
         .groupBy("column_name")
-        .agg(F.sum(quotient(F.col("n") * F.col("n"), F.col("x_n") * F.col("y_n"))).alias("q"))
+        .agg(
+            F.sum(quotient(F.pow(F.col("n") - F.col("e"), F.lit(2)), "e")).alias("filled"),
+            F.sum("e").alias("e"),
+        )
     )
     return sizes.join(cells, "column_name").select(
         "column_name", "total", "nx", "ny",
-        F.greatest(F.col("total") * (F.col("q") - 1), F.lit(0.0)).alias("chi2"),
+        F.greatest(F.col("filled") + (F.col("total") - F.col("e")), F.lit(0.0)).alias("chi2"),
     ).withColumn("cramers_v", F.sqrt(quotient(
-        "chi2", F.col("total") * (F.least("nx", "ny") - 1)
+        "chi2", F.col("total").cast("double") * (F.least("nx", "ny") - 1)
     )))
 
 
@@ -109,13 +117,17 @@ def _normal_table(rho: float, nx: int, ny: int) -> np.ndarray:
     panels = max(1, math.ceil((x_edges[1] - x_edges[0]) / max(4 * math.sqrt(1 - rho * rho), 0.05)))
     fine = np.linspace(-NORMAL_REACH, NORMAL_REACH, nx * panels + 1)
     half = (fine[1:] - fine[:-1]) / 2
-    x = (fine[1:] + fine[:-1])[:, None] / 2 + half[:, None] * _NODES[None, :]
-    weight = half[:, None] * _WEIGHTS[None, :] * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    below = _normal_cdf(
-        (y_edges[None, None, :] - rho * x[:, :, None]) / math.sqrt(1 - rho * rho)
-    )
-    mass = (weight[:, :, None] * np.diff(below, axis=2)).sum(axis=1)
-    return mass.reshape(nx, panels, ny).sum(axis=1)
+    table = np.empty((nx, ny))
+    # A panel at a time, so that memory is bounded by one row of the table.
+    for row in range(nx):
+        mass = np.zeros(ny)
+        for panel in range(row * panels, (row + 1) * panels):
+            x = (fine[panel] + fine[panel + 1]) / 2 + half[panel] * _NODES
+            weight = half[panel] * _WEIGHTS * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+            below = _normal_cdf((y_edges - rho * x[:, None]) / math.sqrt(1 - rho * rho))
+            mass += weight @ np.diff(below, axis=1)
+        table[row] = mass
+    return table
 
 
 def phi_k(chi2: float, n: float, nx: int, ny: int) -> float:

@@ -64,7 +64,9 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
 
 
 def drop_ambiguous(df: DataFrame, key: str) -> DataFrame:
-    """Drop every row whose key occurs more than once."""
-    rest = [c for c in df.columns if c != key]
-    single = df.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("row"))
-    return single.where(F.col("n") == 1).select(key, "row.*").select(*df.columns)
+    """Drop every row whose key occurs more than once; a single row without key stays."""
+    single = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == 1)
+    known = df.join(single, key, "left_semi")
+    missing = df.where(F.col(key).isNull())
+    alone = missing.agg(F.count("*")).scalar() == 1
+    return known.unionByName(missing.where(alone)).select(*df.columns)

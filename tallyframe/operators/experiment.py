@@ -96,7 +96,7 @@ def conversion(df: DataFrame, group: str, user: str, is_buyer: Column) -> DataFr
     ).where(F.col(group).isNotNull() & F.col(user).isNotNull())
     return per_user.groupBy(group).agg(
         F.count("*").alias("total_users"), F.count_if("bought").alias("buying_users")
-    ).withColumn("cr", half_even(quotient("buying_users", "total_users") * 100))
+    ).withColumn("cr", half_even(quotient(F.col("buying_users") * 100, "total_users")))
 
 
 def conversion_diff(rates: DataFrame, group: str, control, test) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.sources.staging import staged
 
-# A key is hot when it holds more than one part in so many of all rows.
-HOT_SHARE = 1000
-
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -81,30 +78,9 @@ def overlap(df: DataFrame, key: str, in_a: Column, in_b: Column) -> DataFrame:
     )
 
 
-def split_join(rows: DataFrame, per_key: DataFrame, key: str, row_count: str) -> DataFrame:
-    """Inner join of many rows with a per-key table, hot keys apart.
-
-    ``per_key`` holds in ``row_count`` how many rows each key has.  A key with
-    more than one ``HOT_SHARE``-th of all rows is hot; fewer than ``HOT_SHARE``
-    keys can be, so their side is broadcast and their rows stay where they were
-    read.  The rows of all other keys are shuffled, in groups of bounded size.
-    """
-    everything = rows.agg(F.count("*")).scalar()
-    hot = F.col(row_count) * HOT_SHARE > everything
-    hot_side = F.broadcast(per_key.where(hot).drop(row_count))
-    hot_keys = F.broadcast(per_key.where(hot).select(key).distinct())
-    cold_side = per_key.where(~hot).drop(row_count)
-    return (
-        rows.join(hot_side, key)
-        .unionByName(rows.join(hot_keys, key, "left_anti").join(cold_side, key))
-    )
-
-
 def first_events(df: DataFrame, user: str, is_event: Column, clock: str, out: str) -> DataFrame:
-    """Time of each user's first marked event, with the user's number of rows."""
-    return df.groupBy(user).agg(
-        F.min(F.when(is_event, F.col(clock))).alias(out), F.count("*").alias("row_count")
-    ).where(F.col(out).isNotNull())
+    """Time of each user's first marked event; a user without one is absent."""
+    return df.where(is_event & F.col(clock).isNotNull()).groupBy(user).agg(F.min(clock).alias(out))
 
 
 def with_first_event(
@@ -112,8 +88,10 @@ def with_first_event(
 ) -> DataFrame:
     """Attach the time of each user's first marked event; users without it drop out.
 
-    The minimum is pre-aggregated per task.  A window over the user would sort all
-    events of a very active user in one task.
+    The minimum is pre-aggregated per task and written, one row per user, so the
+    join back knows its size.  It is a plain equi-join, in which adaptive execution
+    splits the rows of a very active user; a window over the user would sort them
+    in one task.
     """
     first = staged(first_events(df, user, is_event, clock, out), "first-events")
-    return split_join(df, first, user, "row_count")
+    return df.join(first, user)

@@ -11,22 +11,28 @@ from tallyframe.operators.joins import cohort_activity
 
 
 def with_ratio(df: DataFrame, numerator: str, denominator: str, out: str, scale: int = 2) -> DataFrame:
-    """Rounded quotient of two columns, kept as a decimal so that it sums exactly."""
-    return df.withColumn(
-        out, half_up(quotient(numerator, denominator), scale).cast(f"decimal(18,{scale})")
+    """Rounded quotient of two columns, kept as a decimal so that it sums exactly.
+
+    Measured values are divided as decimals with eighteen places and rounded
+    once; values that do not fit are divided as doubles.
+    """
+    top, bottom = (F.col(c).try_cast("decimal(20,6)") for c in (numerator, denominator))
+    rounded = F.coalesce(
+        half_up(F.try_divide(top, bottom), scale), half_up(quotient(numerator, denominator), scale)
     )
+    return df.withColumn(out, rounded.cast(f"decimal(18,{scale})"))
 
 
 def share_of_total(df: DataFrame, column: str, out: str, scale: int = 2) -> DataFrame:
     """Percent of the column's grand total, taken from a scalar subquery."""
     everything = df.agg(F.sum(column)).scalar()
-    return df.withColumn(out, half_up(quotient(column, everything) * 100, scale))
+    return df.withColumn(out, half_up(quotient(F.col(column) * 100, everything), scale))
 
 
 def share_within(df: DataFrame, by: Sequence[str], column: str, out: str, scale: int = 2) -> DataFrame:
     """Percent of the column's total inside a group of an aggregated result."""
     group_sum = F.sum(column).over(Window.partitionBy(*by))
-    return df.withColumn(out, half_up(quotient(column, group_sum) * 100, scale))
+    return df.withColumn(out, half_up(quotient(F.col(column) * 100, group_sum), scale))
 
 
 def ratio_to_max(df: DataFrame, column: str, out: str, scale: int = 2) -> DataFrame:

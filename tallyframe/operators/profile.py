@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.numeric import mean, quotient
+from tallyframe.functions.numeric import known, mean, quotient
 from tallyframe.operators.joins import null_safe_join
 from tallyframe.operators.ranking import percentiles
 
@@ -203,15 +203,19 @@ def pivot_count(
 def describe(
     df: DataFrame, column: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Count, mean, deviation, variance, extremes and interpolated quartiles."""
+    """Count, mean, deviation, variance, extremes and interpolated quartiles.
+
+    Not-a-number counts as missing in all of them.
+    """
     by = list(by)
+    x = known(column)
     moments = df.groupBy(*by).agg(
-        F.count(column).alias("count"),
+        F.count(x).alias("count"),
         mean(column).alias("mean"),
-        F.stddev_samp(F.col(column).cast("double")).alias("std"),
-        F.var_samp(F.col(column).cast("double")).alias("var"),
-        F.min(column).cast("double").alias("min"),
-        F.max(column).cast("double").alias("max"),
+        F.stddev_samp(x.cast("double")).alias("std"),
+        F.var_samp(x.cast("double")).alias("var"),
+        F.min(x).cast("double").alias("min"),
+        F.max(x).cast("double").alias("max"),
     )
     names = {"q25": "0.25", "q50": "0.5", "q75": "0.75"}
     quartiles = percentiles(

@@ -23,11 +23,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.operators.joins import null_safe_join
+from tallyframe.sources.staging import staged
 
 CELLS_PER_E_FOLD = 2048
 SLICES = 65536
-# Rows of one cell that a single task may sort without slicing them first.
-ONE_TASK_ROWS = 2_000_000
 # exp(-745) is the smallest positive double, so every logarithm stays above it.
 _LOG_FLOOR = 746
 _LARGEST = 1.7976931348623157e308
@@ -80,18 +79,10 @@ def order_statistics(
         .where(F.size("want") > 0)
         .select(*key, "cell", "n", "total", "first", "low", "high", "want")
     )
-    # Persisting gives the planner the measured size of this side, so that it is
+    # Written, so that the planner knows the true size of this side: it is
     # broadcast below the configured threshold and shuffled above it.
-    wanted = wanted.persist()
-    largest = wanted.agg(F.max("n")).first()[0] or 0
-    rows = null_safe_join(rows, wanted.drop("n"), [*key, "cell"])
-    if largest <= ONE_TASK_ROWS:
-        hits = rows.groupBy(*key, "cell", "total", "first", "want", "v").agg(
-            F.count("*").alias("n")
-        )
-        part, base = [*key, "cell"], F.col("first")
-    else:
-        hits, part, base = _sliced(rows, key)
+    wanted = staged(wanted.drop("n"), "wanted-cells")
+    hits, part, base = _sliced(null_safe_join(rows, wanted, [*key, "cell"]), key)
 
     within = (
         Window.partitionBy(*part).orderBy("v")
@@ -195,6 +186,25 @@ def percentile_disc(df: DataFrame, column: str, p: str | float, out: str, by=())
     return percentiles(df, {out: (column, p)}, by)
 
 
+def few_valued_percentile(
+    df: DataFrame, column: str, p: str | float, out: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """``percentile_disc`` for a column of few distinct values: one count of them.
+
+    The counts of a group's values are summed in one task, so their number, not
+    the rows', has to be small.
+    """
+    by = list(by)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    until = Window.partitionBy(*by).orderBy(column).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    reached = counts.withColumn("__last", F.sum("__n").over(until)).withColumn(
+        "__rank", F.greatest(F.ceil(F.sum("__n").over(Window.partitionBy(*by)) * F.lit(Decimal(str(p)))), F.lit(1))
+    )
+    return reached.where(F.col("__last") >= F.col("__rank")).groupBy(*by).agg(F.min(column).alias(out))
+
+
 def median(df: DataFrame, column: str, out: str, by=()) -> DataFrame:
     return percentiles(df, {out: (column, "0.5")}, by, interpolate=True)
 
@@ -202,8 +212,8 @@ def median(df: DataFrame, column: str, out: str, by=()) -> DataFrame:
 def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFrame:
     """Split all rows into ``k`` equal tiers by ``order``, ties by ``tie_break``.
 
-    Both columns must be non-null and ``tie_break`` unique and numeric.  With
-    ``n = q*k + r`` rows the first ``r`` tiers hold ``q + 1`` rows.  Only the last
+    Both columns must be non-null and ``tie_break`` unique, a number or a text,
+    which is ordered by its bytes.  With ``n = q*k + r`` rows the first ``r`` tiers hold ``q + 1`` rows.  Only the last
     row of each tier but the final one is looked up; every row then compares
     itself with these ``k - 1`` rows, so no row needs a global row number.
     """
@@ -231,13 +241,16 @@ def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFr
     tied = df.join(F.broadcast(table), F.col(order) == F.col("border")).select(
         "tier_end", "border", "place", F.col(tie_break).alias("tie")
     )
-    # The rank inside the tied rows differs by border, so it is part of the key.
-    last = order_statistics(
-        tied, {"tie": "tie"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
-        by=["tier_end", "border", "place"],
-    )
-    # One row per border.
-    ends_found = sorted((row["border"], row["value"]) for row in last.collect())
+    if df.schema[tie_break].dataType.typeName() == "string":
+        ends_found = sorted(_text_ends(tied))
+    else:
+        # The rank inside the tied rows differs by border, so it is part of the key.
+        last = order_statistics(
+            tied, {"tie": "tie"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
+            by=["tier_end", "border", "place"],
+        )
+        # One row per border.
+        ends_found = sorted((row["border"], row["value"]) for row in last.collect())
     tier = F.lit(1)
     for border, tie in ends_found:
         passed = (F.col(order) > F.lit(border)) | (
@@ -247,6 +260,42 @@ def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFr
     return df.withColumn(out, tier)
 
 
+# Bytes of a text that one number orders exactly, also as a double.
+_TEXT_BYTES = 6
+
+
+def _text_ends(tied: DataFrame) -> list[tuple]:
+    """(border, text) of the row at each border's place among its tied rows.
+
+    The text is found a few bytes at a time: those bytes are a number, whose
+    order statistic names the prefix and the place among the rows that share it.
+    At most ``k - 1`` rows reach the driver in every round.
+    """
+    left, found, at = tied, [], 0
+    while True:
+        data = F.col("tie").cast("binary")
+        part = F.rpad(F.hex(F.substring(data, at + 1, _TEXT_BYTES)), 2 * _TEXT_BYTES, "0")
+        left = left.withColumn("part", F.conv(part, 16, 10).cast("long"))
+        stats = staged(order_statistics(
+            left, {"part": "part"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
+            by=["tier_end", "border", "place"],
+        ).select("tier_end", F.col("value").alias("prefix"), (F.col("place") - F.col("below")).alias("rest")), "text-ends")
+        left = staged(
+            left.join(stats, (left["tier_end"] == stats["tier_end"]) & (left["part"] == stats["prefix"]))
+            .select(left["tier_end"], "border", F.col("rest").alias("place"), "tie"), "text-ties",
+        )
+        at += _TEXT_BYTES
+        # Done where one row is left, or no row has further bytes.
+        ends = left.groupBy("tier_end", "border").agg(
+            F.count("*").alias("n"), F.max(F.octet_length("tie")).alias("longest"), F.min("tie").alias("tie")
+        ).collect()
+        done = {r["tier_end"] for r in ends if r["n"] == 1 or r["longest"] <= at}
+        found += [(r["border"], r["tie"]) for r in ends if r["tier_end"] in done]
+        if len(done) == len(ends):
+            return found
+        left = left.where(~F.col("tier_end").isin(sorted(done)))
+
+
 def rank_groups(df: DataFrame, by: str, out: str, descending: bool = True) -> DataFrame:
     """Dense rank of an aggregated result by one column.
 

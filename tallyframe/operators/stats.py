@@ -14,7 +14,7 @@ from tallyframe.functions.numeric import quotient
 from tallyframe.functions.special import f_p, normal_p, student_p
 from tallyframe.operators.joins import null_safe_join
 from tallyframe.operators.ranking import percentiles
-from tallyframe.operators.sizing import measured
+from tallyframe.sources.staging import staged
 
 
 def _moments(group: str, value: str, key, prefix: str) -> list[Column]:
@@ -86,18 +86,23 @@ def levene(df: DataFrame, group: str, value: str, groups: Sequence) -> DataFrame
     distances = rows.withColumn("c", by_group).select(
         "g", F.abs(F.col("x").cast("double") - F.col("c")[F.col("g")]).alias("z")
     )
-    per_group = distances.groupBy("g").agg(
+    # Distances from their overall mean: the statistic is the same, and large
+    # distances do not cancel in the sums of squares.
+    middle = distances.agg(F.avg("z")).scalar()
+    per_group = distances.withColumn("z", F.col("z") - middle).groupBy("g").agg(
         F.count("*").alias("n"), F.avg("z").alias("m"), F.var_samp("z").alias("v"),
-        F.sum("z").alias("s"),
     )
+    # One row per named group.
     sums = per_group.agg(
         F.sum("n").alias("n_total"),
         F.count("*").alias("k"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("weighted"),
-        F.sum("s").alias("s_total"),
+        quotient(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"),
+        F.collect_list(F.struct("n", "m")).alias("groups"),
         F.sum((F.col("n") - 1) * F.col("v")).alias("within"),
     )
-    between = F.col("weighted") - quotient(F.pow("s_total", F.lit(2)), "n_total")
+    between = F.aggregate(
+        "groups", F.lit(0.0), lambda s, g: s + g["n"] * F.pow(g["m"] - F.col("mean"), F.lit(2))
+    )
     return (
         sums.withColumn("dof_between", F.col("k") - 1)
         .withColumn("dof_within", F.col("n_total") - F.col("k"))
@@ -118,7 +123,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    ranges = measured(
+    ranges = staged(
         rows.groupBy(*by).agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count("*").alias("n"))
         .where(F.col("n") > 0)
         .select(
@@ -126,7 +131,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
             # A single value is placed in the middle of a range of width one.
             F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
             F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
-        )
+        ), "ranges",
     )
     step = (F.col("hi") - F.col("lo")) / F.lit(bins)
 
@@ -167,7 +172,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     names = {"q25": "0.25", "q50": "0.5", "q75": "0.75"}
     quartiles = percentiles(rows, {o: ("x", p) for o, p in names.items()}, by, interpolate=True)
     if by:
-        placed = null_safe_join(rows, measured(quartiles), by)
+        placed = null_safe_join(rows, staged(quartiles, "quartiles"), by)
     else:
         row = quartiles.select(F.struct(*names)).scalar()
         placed = rows.withColumns({o: row[o] for o in names})

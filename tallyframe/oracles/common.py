@@ -2,13 +2,28 @@
 
 
 def r(expression: str, digits: int = 2) -> str:
-    """Round half away from zero on the printed digits."""
-    return f"CAST(round(CAST(({expression}) AS DECIMAL(28,6)), {digits}) AS DOUBLE)"
+    """Round half away from zero on fifteen decimals."""
+    return f"CAST(round(CAST(({expression}) AS DECIMAL(38,15)), {digits}) AS DOUBLE)"
+
+
+def ratio(numerator: str, denominator: str, digits: int = 2) -> str:
+    """A quotient of exact decimals rounded half away from zero by whole numbers.
+
+    Both sides count millionths; null for a zero denominator.
+    """
+    n, d = (f"CAST(CAST({x} AS DECIMAL(30,6)) * 1000000 AS HUGEINT)" for x in (numerator, denominator))
+    whole = f"(2 * abs({n}) * {10**digits} + abs({d})) // NULLIF(2 * abs({d}), 0)"
+    return f"(CAST(sign({n}) * sign({d}) * ({whole}) AS DOUBLE) / {10**digits})"
+
+
+def exact_mean(column: str, digits: int = 2) -> str:
+    """The average of a column of decimals or whole numbers, rounded exactly."""
+    return ratio(f"SUM({column})", f"COUNT({column})", digits)
 
 
 def re(expression: str, digits: int = 2) -> str:
-    """Round half to even on the printed digits."""
-    return f"CAST(round_even(CAST(({expression}) AS DECIMAL(28,6)), {digits}) AS DOUBLE)"
+    """Round half to even on fifteen decimals."""
+    return f"CAST(round_even(CAST(({expression}) AS DECIMAL(38,15)), {digits}) AS DOUBLE)"
 
 
 def d(expression: str) -> str:

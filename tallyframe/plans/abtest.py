@@ -10,7 +10,7 @@ from tallyframe.operators.experiment import (
     conversion, conversion_diff, duration_days, group_imbalance, group_shares, keep_lifetime,
     lifetime_users, sample_size_check, user_milestones, with_decision, ztest_precondition,
 )
-from tallyframe.operators.joins import exclude_ids, first_events, overlap, split_join
+from tallyframe.operators.joins import exclude_ids, first_events, overlap
 from tallyframe.operators.profile import duplicate_count
 from tallyframe.operators.stats import proportions_ztest
 from tallyframe.sources.staging import staged
@@ -123,7 +123,7 @@ def lifetime_events(participants: DataFrame, events: DataFrame, days: int = 7) -
     """
     first = first_events(events, "user_id", _is_event(REGISTRATION), "event_dt", "reg_dt")
     per_user = staged(first.join(clean_participants(participants), "user_id"), "lifetime-users")
-    joined = split_join(events, per_user, "user_id", "row_count")
+    joined = events.join(per_user, "user_id")
     return keep_lifetime(joined, "event_dt", days).dropDuplicates()
 
 

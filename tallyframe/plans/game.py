@@ -140,9 +140,13 @@ def zero_purchases(events: DataFrame) -> DataFrame:
 
 
 def _purchases_per_user(events: DataFrame) -> DataFrame:
-    """Paid events and amount per user; one row per buyer leaves each task."""
-    return events.where(F.col("amount") > 0).groupBy("id").agg(
-        F.count("transaction_id").alias("n_event"), F.sum(exact("amount")).alias("paid")
+    """Paid events, different transactions and amount per user."""
+    per_transaction = events.where(F.col("amount") > 0).groupBy("id", "transaction_id").agg(
+        F.count("transaction_id").alias("n"), F.sum(exact("amount")).alias("paid")
+    )
+    return per_transaction.groupBy("id").agg(
+        F.sum("n").alias("n_event"), F.count("transaction_id").alias("n_transaction"),
+        F.sum("paid").alias("paid"),
     )
 
 
@@ -171,7 +175,7 @@ def item_popularity(events: DataFrame, items: DataFrame) -> DataFrame:
     everyone = events.agg(F.count_distinct("id")).scalar()
     return (
         share_of_total(named, "count_event", "share_event")
-        .withColumn("share_buy_user", half_up(quotient("n_user", everyone) * 100))
+        .withColumn("share_buy_user", half_up(quotient(F.col("n_user") * 100, everyone)))
         .drop("n_user")
         .orderBy(F.col("count_event").desc(), "epic_item_id")
     )
@@ -191,7 +195,7 @@ def activity_by_dim(users: DataFrame, events: DataFrame, race: DataFrame) -> Dat
         F.count("id").alias("count_total_user"),
         F.count_if(buyer).alias("count_buy_user"),
         F.count_if(buyer & (F.col("payer") == 1)).alias("n_payer"),
-        F.sum("n_event").alias("n_event"),
+        F.sum("n_transaction").alias("n_event"),
         F.sum("paid").alias("paid"),
     )
     payers = F.when(F.col("race_id").isNotNull() & (F.col("n_payer") > 0), F.col("n_payer"))
@@ -233,10 +237,12 @@ def purchase_frequency_tiers(
     """Frequent buyers in equal tiers by mean days between purchases.
 
     The per-buyer table is written once, since the tier borders are looked up in
-    several passes over it.
+    several passes over it.  A single purchase has no gap and cannot be ranked, so
+    ``min_events`` must be at least 2.
     """
-    # A single purchase has no gap, so it can never be ranked.
-    gaps = staged(purchase_gaps(users, events, max(min_events, 2)), "purchase-gaps")
+    if min_events < 2:
+        raise ValueError("min_events must be at least 2: one purchase has no gap")
+    gaps = staged(purchase_gaps(users, events, min_events), "purchase-gaps")
     ranked = tiers(gaps, len(labels), "avg_duration_day", "id", "tier")
     return (
         ranked.groupBy("tier").agg(

@@ -56,8 +56,13 @@ def mau_top_titles(
 
 
 def daily_retention(audition: DataFrame, base_day: str = "2024-12-02") -> DataFrame:
-    """Share of the base day's users that return on each later day."""
-    return retention(with_day(audition), "puid", "day", base_day).orderBy("day_since_install")
+    """Share of the base day's users that return on each later day.
+
+    Dates are texts as yyyy-mm-dd, which order as the dates do, so the lower bound
+    on the text reaches the scan and skips earlier files.
+    """
+    later = audition.where(F.col("msk_business_dt_str") >= base_day)
+    return retention(with_day(later), "puid", "day", base_day).orderBy("day_since_install")
 
 
 def ltv_by_city(

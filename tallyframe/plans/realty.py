@@ -13,7 +13,9 @@ from tallyframe.functions.temporal import month_name, month_start
 from tallyframe.functions.text import bucketed, labelled
 from tallyframe.operators.joins import lookup, null_safe_join
 from tallyframe.operators.metrics import share_within, with_ratio
-from tallyframe.operators.ranking import percentiles, rank_groups, top_k
+from tallyframe.operators.ranking import (
+    few_valued_percentile, percentiles, rank_groups, top_k,
+)
 from tallyframe.sources.staging import staged
 
 # Names and labels of the studied market.
@@ -103,11 +105,11 @@ def time_on_market_segments(
         "city_id", "type_id", "floors_total", "is_apartment", "days_exposition",
     ))
     closed = _in_towns(kept.where(F.col("days_exposition").isNotNull()), types, town_type)
-    segmented = lookup(closed, city, "city_id").select(
+    segmented = staged(lookup(closed, city, "city_id").select(
         labelled("city", {main_city: main_city}, other_region).alias("region"),
         bucketed("days_exposition", bounds, labels).alias("period"),
         "is_apartment", "price_1m", "total_area", "rooms", "balcony", "floors_total",
-    )
+    ), "segmented")
     keys = ["region", "period"]
     grouped = segmented.groupBy(*keys).agg(
         F.count("*").alias("flats"),
@@ -117,7 +119,7 @@ def time_on_market_segments(
         _rounded_mean("rooms", 0).alias("rooms"),
         _rounded_mean("balcony", 0).alias("balconies"),
     )
-    floors = percentiles(segmented, {"floors": ("floors_total", "0.5")}, by=keys)
+    floors = few_valued_percentile(segmented, "floors_total", "0.5", "floors", by=keys)
     shares = share_within(grouped, ["region"], "flats", "share")
     return null_safe_join(shares, floors, keys, "left").withColumn(
         "floors", F.col("floors").cast("double")

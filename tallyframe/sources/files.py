@@ -18,17 +18,26 @@ def read_csv(
     path: str,
     schema: StructType,
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Scan CSV files with a header under a declared schema.
 
     The schema replaces inference, which would read every file twice.  Columns
     of timestamp type are parsed while reading; a mixed column is declared as
-    string and split later.  Malformed cells raise instead of turning into null.
+    string and split later.  Malformed cells raise instead of turning into null,
+    and so does a header that names other columns or another order.  Quotes inside
+    a quoted cell are doubled.  ``multi_line`` allows line breaks in quoted cells,
+    for which a file is read by one task; without such cells, turn it off so that
+    large files are split.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("timestampFormat", timestamp_format)
         .option("timestampNTZFormat", timestamp_format)
         .csv(path)

@@ -28,7 +28,9 @@ def test_one_event_buyers_never_divide_by_zero(spark):
     try:
         gaps = {r["id"]: float(r["avg_duration_day"])
                 for r in game.purchase_gaps(users, events, 2).collect()}
-        tiers = game.purchase_frequency_tiers(users, events, min_events=1).collect()
+        tiers = game.purchase_frequency_tiers(users, events, min_events=2).collect()
+        with pytest.raises(ValueError, match="at least 2"):
+            game.purchase_frequency_tiers(users, events, min_events=1)
     finally:
         spark.conf.unset("spark.sql.codegen.wholeStage")
     assert gaps == {2: 4.0, 3: 1.0}
@@ -269,16 +271,13 @@ def test_exclusion_keeps_rows_with_a_missing_id(spark):
     assert [r["id"] for r in joins.keep_ids(df, ids, "id").collect()] == [2]
 
 
-@pytest.mark.parametrize("hot_share", [1, 3, 1000])
-def test_split_join_equals_a_plain_join(spark, monkeypatch, hot_share):
-    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+def test_first_event_joins_a_hot_user_without_a_hint(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") < 1200, 7).otherwise(F.col("id") % 100).alias("user"), "id")
-    per_key = rows.groupBy("user").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(
-        F.col("user") != 5)
-    got = joins.split_join(rows, per_key, "user", "n")
-    plain = rows.join(per_key.drop("n"), "user")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    got = joins.with_first_event(rows, "user", F.col("user") != 5, "id", "first")
+    first = rows.where("user != 5").groupBy("user").agg(F.min("id").alias("first"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(first, "user").collect()))
+    assert "hint" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_means_keep_more_than_two_decimals(spark):

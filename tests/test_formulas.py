@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,50 @@ def test_levene_by_hand(spark):
     within = sum((z - ma) ** 2 for z in za) + sum((z - mb) ** 2 for z in zb)
     assert got["f_stat"] == pytest.approx(between / (within / 7), rel=1e-12)
     assert math.isclose(got["p_value"], special.f_sf(got["f_stat"], 1, 7))
+
+
+def test_rounding_happens_once(spark):
+    from tallyframe.functions.numeric import half_even, half_up
+
+    df = spark.createDataFrame([(0.1249999999, 2.4999999, 2.675, 0.125, 1e25, float("nan"))], "a double, b double, c double, d double, e double, f double")
+    row = df.select(
+        half_up("a"), half_up("b", 0), half_up("c"), half_up("d"), half_even("d"), half_up("e"), half_up("f")
+    ).first()
+    assert row[:6] == (0.12, 2.0, 2.68, 0.13, 0.12, 1e25) and math.isnan(row[6])
+
+
+def test_describe_leaves_not_a_number_out(spark):
+    from tallyframe.operators.profile import describe
+
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    row = describe(df, "v").first()
+    assert (row["count"], row["mean"], row["var"], row["max"], row["q50"]) == (2, 2.0, 2.0, 3.0, 2.0)
+    for value in (1e-12, 1e19):
+        tiny = spark.createDataFrame([(value,), (value,)], "v double")
+        assert describe(tiny, "v").first()["mean"] == value
+
+
+def test_levene_does_not_cancel(spark):
+    from tallyframe.operators.stats import levene
+
+    rng = np.random.default_rng(3)
+    for offset in (1e4, 1e9):
+        x = {g: rng.choice([-1, 1], 2000) * (offset + rng.normal(0, s, 2000)) for g, s in (("a", 1.0), ("b", 1.2))}
+        df = spark.createDataFrame([(g, float(v)) for g in x for v in x[g]], "g string, x double")
+        z = {g: np.abs(v - np.median(v)) for g, v in x.items()}
+        whole = np.concatenate(list(z.values()))
+        middle = whole.mean()
+        between = sum(len(v) * (v.mean() - middle) ** 2 for v in z.values())
+        within = sum(((v - v.mean()) ** 2).sum() for v in z.values())
+        row = levene(df, "g", "x", ["a", "b"]).first()
+        assert row["f_stat"] == pytest.approx(between / (within / 3998), rel=1e-3)
+
+
+def test_chi_square_of_large_counts(spark):
+    from tallyframe.operators.association import chi_square
+
+    n = 4_000_000_000
+    table = spark.createDataFrame(
+        [("c", "p", "u", n), ("c", "q", "w", n)], "column_name string, x string, y string, n long")
+    row = chi_square(table).first()
+    assert row["chi2"] == pytest.approx(2 * n) and row["cramers_v"] == pytest.approx(1)

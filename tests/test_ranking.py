@@ -16,25 +16,19 @@ SKEWED = (
 )
 
 
-@pytest.fixture(params=["one task per cell", "sliced cells"])
-def slicing(request, monkeypatch):
-    if request.param == "sliced cells":
-        monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 0)
-
-
 def brute_disc(values, p):
     known = sorted(v for v in values if v is not None)
     return known[max(math.ceil(Decimal(p) * len(known)), 1) - 1]
 
 
 @pytest.mark.parametrize("p", ["0", "0.01", "0.25", "0.5", "0.9", "0.99", "1"])
-def test_discrete_percentile(spark, slicing, p):
+def test_discrete_percentile(spark, p):
     df = spark.createDataFrame([(v,) for v in SKEWED], "v double")
     got = ranking.percentile_disc(df, "v", p, "q").first()["q"]
     assert got == brute_disc(SKEWED, p)
 
 
-def test_interpolated_percentiles_by_group(spark, slicing):
+def test_interpolated_percentiles_by_group(spark):
     rng = np.random.default_rng(7)
     groups = {"a": rng.lognormal(3, 2, 301), "b": rng.normal(0, 1, 40), "c": np.array([2.5]),
               None: np.array([1.0, 4.0])}
@@ -94,7 +88,7 @@ def test_tiers_agree_with_a_global_sort(spark, values, k):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_a_third_of_all_rows_in_one_value(spark, slicing):
+def test_a_third_of_all_rows_in_one_value(spark):
     df = spark.range(30_000).select(
         "id", F.when(F.col("id") < 10_000, 7.0).otherwise(F.sqrt("id")).alias("v")
     )
@@ -119,7 +113,7 @@ def test_top_k_settles_ties_and_rank_groups_is_dense(spark):
     assert ranks == {"c": 1, "a": 2, "b": 2, "d": 3}
 
 
-def test_infinite_and_missing_numbers(spark, slicing):
+def test_infinite_and_missing_numbers(spark):
     inf = math.inf
     values = [inf, -inf, 1e308, 1.0, float("nan"), None, inf, 2.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
@@ -128,3 +122,24 @@ def test_infinite_and_missing_numbers(spark, slicing):
         p = Decimal(i) / len(known)
         row = ranking.percentiles(df, {"q": ("v", str(round(p - Decimal("0.01"), 6)))}).first()
         assert row["q"] == known[i - 1]
+
+
+def test_few_valued_percentile(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("a", 2), ("b", None), (None, 7)], "g string, v int")
+    got = {r["g"]: r["q"] for r in ranking.few_valued_percentile(df, "v", "0.5", "q", ["g"]).collect()}
+    assert got == {"a": 2, None: 7}
+
+
+def test_tiers_break_ties_by_text(spark):
+    names = [f"player-{i % 7}-{'x' * (i % 5)}{i}" for i in range(200)]
+    rows = [(n, i % 3) for i, n in enumerate(names)]
+    got = {r["id"]: r["t"] for r in ranking.tiers(
+        spark.createDataFrame(rows, "id string, v int"), 4, "v", "id", "t").collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[0].encode()))
+    assert got == {n: 1 + i // 50 for i, (n, _) in enumerate(order)}
+
+
+def test_cells_are_written_and_read_back(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), (F.col("id") * 1.5).alias("v"))
+    plan = ranking.percentiles(df, {"q": ("v", "0.5")}, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "wanted-cells" in plan

@@ -88,3 +88,27 @@ def test_plans_avoid_pair_products(spark, data_dir, name):
 
 def test_load_reads_one_table(spark, data_dir):
     assert load(spark, data_dir, "region").count() == 5
+
+
+def test_quoted_cells_hold_quotes_commas_and_line_breaks(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from tallyframe.sources.files import read_csv
+
+    (tmp_path / "a.csv").write_text(
+        'id,price,avg_bill\n1,"кафе ""Ромашка""","He said ""x"", y"\n2,"line\nbreak",\n', encoding="utf-8")
+    schema = StructType.fromDDL("id int, price string, avg_bill string")
+    rows = [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"), schema).collect()]
+    assert rows == [(1, 'кафе "Ромашка"', 'He said "x", y'), (2, "line\nbreak", None)]
+    (tmp_path / "b.csv").write_text("id,avg_bill,price\n1,a,b\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "b.csv"), schema).collect()
+
+
+def test_retention_bound_reaches_the_scan(spark, tmp_path):
+    from tallyframe.plans import library
+
+    spark.createDataFrame([(1, "2024-12-02"), (1, "2024-12-05"), (2, "2024-11-01")], "puid long, msk_business_dt_str string").write.parquet(str(tmp_path / "a"))
+    df = library.daily_retention(spark.read.parquet(str(tmp_path / "a")))
+    assert "GreaterThanOrEqual(msk_business_dt_str,2024-12-02)" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[:2] for r in df.collect()] == [(0, 1), (3, 1)]
