@@ -1,6 +1,17 @@
 """File round trips: the same figures straight from the tables."""
 
-from tallyframe.oracles.common import d
+from tallyframe.oracles.common import d, union
+
+
+def _quoted(view: str, columns: str) -> str:
+    """Eight characters are appended to every text before the file is written."""
+    return union(
+        f"SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT({q}) AS texts, "
+        f"CAST(SUM(length(CAST({q} AS VARCHAR)) + 8) AS BIGINT) AS chars, COUNT({q}) AS whole "
+        f"FROM {view}"
+        for c in columns.split() for q in [f'"{c}"']
+    )
+
 
 SQL = {
     "event_files": f"""
@@ -10,6 +21,10 @@ SQL = {
                COUNT(TRY_CAST(details AS DECIMAL(18,2))) AS numeric_details,
                {d("SUM(TRY_CAST(details AS DECIMAL(18,2)))")} AS amount
         FROM x_events GROUP BY event_name""",
+    "sample_files": _quoted("h_sample", "city"),
+    "participant_files": _quoted("x_participants", "user_id group ab_test device"),
+    "place_files": _quoted("e_info", "id name address district category hours"),
+    "price_files": _quoted("e_price", "id price avg_bill"),
     "city_handoff": f"""
         SELECT usage_geo_id_name AS city, COUNT(DISTINCT puid) AS users,
                {d("SUM(hours)")} AS hours

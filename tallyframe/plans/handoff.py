@@ -40,6 +40,40 @@ def event_files(events: DataFrame) -> DataFrame:
     )
 
 
+# Appended to every text: what a careless CSV reader stumbles over.
+AWKWARD = ', "x"\n"y'
+
+
+def quoted_files(rows: DataFrame, schema_name: str) -> DataFrame:
+    """A table written as CSV with quotes, commas and line breaks in every text, scanned again.
+
+    Columns that the declared schema has and the table lacks are written empty.
+    One row per text column: rows, texts, their characters and those that came
+    back whole.
+    """
+    spark = rows.sparkSession
+    path = _fresh_path(spark, schema_name)
+    schema = csv_schema(schema_name)
+    texts = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
+    typed = rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ])
+    awkward = typed.withColumns({c: F.concat(F.col(c), F.lit(AWKWARD)) for c in texts})
+    (
+        awkward.write.option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+    scanned = read_csv(spark, path, schema)
+    return scanned.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("text")) for c in texts
+    ]))).groupBy("column_name").agg(
+        F.count("*").alias("rows"), F.count("text").alias("texts"),
+        F.sum(F.length("text")).alias("chars"),
+        F.count_if(F.col("text").endswith(AWKWARD)).alias("whole"),
+    )
+
+
 def user_city_hours(audition: DataFrame, geo: DataFrame) -> DataFrame:
     """Hours per user and city: the prepared table the two-city comparison starts from."""
     per_geo = audition.groupBy("usage_geo_id", "puid").agg(F.sum(exact("hours")).alias("hours"))

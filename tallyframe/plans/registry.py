@@ -221,6 +221,12 @@ QUERIES: dict[str, Query] = {
     "bill_ranges": _on(places.bill_ranges, "e_price"),
     # file round trips
     "event_files": _on(handoff.event_files, "x_events"),
+    "sample_files": _on(handoff.quoted_files, "h_sample", schema_name="online_library_data"),
+    "participant_files": _on(
+        handoff.quoted_files, "x_participants", schema_name="ab_test_participants"
+    ),
+    "place_files": _on(handoff.quoted_files, "e_info", schema_name="ctr_info"),
+    "price_files": _on(handoff.quoted_files, "e_price", schema_name="ctr_price"),
     "city_handoff": _on(handoff.city_handoff, "l_audition", "l_geo"),
     "month_handoff": _on(
         handoff.month_handoff, "l_audition", first_month="1997-09-01", last_month="1997-11-01"

@@ -288,3 +288,8 @@ def test_means_keep_more_than_two_decimals(spark):
 def test_text_that_is_no_date_is_counted(spark):
     df = spark.createDataFrame([("2024-12-02",), ("2024-13-40",), (None,)], "msk_business_dt_str string")
     assert tuple(library.rejected_dates(df).first()) == (3, 1)
+
+
+def test_index_column_is_found_and_dropped(spark):
+    df = spark.range(5).select("id", (F.col("id") * 2).alias("v"))
+    assert profile.drop_index_column(df, "id").columns == ["v"]
