@@ -28,16 +28,20 @@ def _is_event(name: str) -> Column:
 
 
 def experiment_overview(participants: DataFrame, events: DataFrame) -> DataFrame:
-    """Duplicates of both tables, before and after the events are deduplicated."""
+    """Duplicates of both tables, before and after the events are deduplicated.
 
-    def row(name: str, df: DataFrame) -> DataFrame:
-        return duplicate_count(df).withColumn("table_name", F.lit(name))
-
-    return (
-        row("participants", participants)
-        .unionByName(row("events", events))
-        .unionByName(row("events_deduplicated", events.dropDuplicates()))
-    )
+    One grouping of the events tells both: what is left are the different rows.
+    """
+    counted = duplicate_count(events).select(F.inline(F.array(
+        F.struct("row_count", "duplicates", F.lit("events").alias("table_name")),
+        F.struct(
+            (F.col("row_count") - F.col("duplicates")).alias("row_count"),
+            F.lit(0).cast("long").alias("duplicates"), F.lit("events_deduplicated").alias("table_name"),
+        ),
+    )))
+    return duplicate_count(participants).withColumn(
+        "table_name", F.lit("participants")
+    ).unionByName(counted)
 
 
 def category_values(participants: DataFrame) -> DataFrame:

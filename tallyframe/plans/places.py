@@ -184,7 +184,7 @@ def chain_share(places: DataFrame) -> DataFrame:
 
 def typical_seats(places: DataFrame, max_seats: int = MAX_SEATS) -> DataFrame:
     """Mean and median seats per category, implausible counts left out."""
-    kept = staged(places.select("category", "seats"), "seats").where(F.col("seats") < max_seats)
+    kept = staged(places.where(F.col("seats") < max_seats).select("category", "seats"), "seats")
     known = kept.where(F.col("category").isNotNull())
     means = known.groupBy("category").agg(
         F.count("seats").alias("places"), half_even(mean("seats")).alias("mean_seats")
