@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.common import map_texts
 
-CHUNK = 65_536
+CHUNK = 32_768
 OVERLAP = 256
 REMEMBERED = 1_000_000
 
