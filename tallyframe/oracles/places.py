@@ -1,6 +1,6 @@
 """Restaurants."""
 
-from tallyframe.oracles.common import d, mean, r, re, union
+from tallyframe.oracles.common import d, mean, normal_cdf, r, re, union
 
 _PLACES = """
     merged AS (SELECT * FROM e_info LEFT JOIN e_price USING (id)),
@@ -98,7 +98,7 @@ def _bin10(column: str) -> str:
         / CAST((SELECT MAX({column}) - MIN({column}) FROM places) AS DOUBLE) * 10), 9) AS VARCHAR)"""
 
 
-def _chi_square() -> str:
+def _chi_square(more: str = "", phi_k: str = "") -> str:
     parts = []
     for c in ("category", "district", "chain", "seats", "price", "is_24_7"):
         level = _bin10(c) if c in ("chain", "seats", "is_24_7") else c
@@ -124,12 +124,76 @@ def _chi_square() -> str:
         sizes AS (
             SELECT column_name, t, (SELECT COUNT(*) FROM xs WHERE xs.column_name = o.column_name) AS a,
                    (SELECT COUNT(*) FROM ys WHERE ys.column_name = o.column_name) AS b
-            FROM totals o)
+            FROM totals o){more}
         SELECT column_name, CAST(t AS BIGINT) AS total, a AS nx, b AS ny, {r("chi2", 6)} AS chi2,
-               {r("sqrt(chi2 / (t * (least(a, b) - 1)))", 6)} AS cramers_v
+               {r("sqrt(chi2 / (t * (least(a, b) - 1)))", 6)} AS cramers_v{phi_k}
         FROM sums JOIN sizes USING (column_name)"""
 
 
+def _phi_k(steps: int = 2000) -> str:
+    """The correlation whose binned normal distribution has the table's chi-square.
+
+    The density at a corner is the derivative of the distribution by the
+    correlation, so a cell's excess over independence is the integral of its four
+    corners' densities, summed here by trapezoids on a grid of correlations.  The
+    distance grows with the correlation and is inverted linearly between two points.
+    """
+    more = f""",
+        shapes AS (SELECT DISTINCT a, b FROM sizes),
+        steps AS (SELECT range AS k, range * 0.999 / {steps} AS rho FROM range(0, {steps + 1})),
+        edges AS (
+            SELECT a, b, i.range AS i, j.range AS j, -5 + 10.0 * i.range / a AS x, -5 + 10.0 * j.range / b AS y
+            FROM shapes, range(0, 33) i, range(0, 33) j WHERE i.range <= a AND j.range <= b),
+        corners AS (
+            SELECT a, b, i, j, k, exp(-(x * x - 2 * rho * x * y + y * y) / (2 * (1 - rho * rho)))
+                   / (2 * pi() * sqrt(1 - rho * rho)) AS f
+            FROM edges, steps),
+        strips AS (
+            SELECT a, b, i, j, k, f - lag(f) OVER (PARTITION BY a, b, j, k ORDER BY i) AS f FROM corners),
+        densities AS (
+            SELECT a, b, i, j, k, f - lag(f) OVER (PARTITION BY a, b, i, k ORDER BY j) AS f
+            FROM strips WHERE i > 0),
+        slopes AS (
+            SELECT a, b, i, j, k,
+                   (f + lag(f) OVER (PARTITION BY a, b, i, j ORDER BY k)) / 2 * 0.999 / {steps} AS f
+            FROM densities WHERE j > 0),
+        excess AS (
+            SELECT a, b, i, j, k, coalesce(SUM(f) OVER (PARTITION BY a, b, i, j ORDER BY k), 0) AS f
+            FROM slopes),
+        points AS (
+            SELECT DISTINCT z, {normal_cdf("z")} AS below
+            FROM (SELECT x AS z FROM edges UNION SELECT y FROM edges) AS zs),
+        bounds AS (
+            SELECT e.a, e.b, e.i, e.j, px1.below AS x1, px0.below AS x0, py1.below AS y1, py0.below AS y0
+            FROM edges e JOIN edges d ON d.a = e.a AND d.b = e.b AND d.i = e.i - 1 AND d.j = e.j - 1
+            JOIN points px1 ON px1.z = e.x JOIN points px0 ON px0.z = d.x
+            JOIN points py1 ON py1.z = e.y JOIN points py0 ON py0.z = d.y),
+        cells0 AS (
+            SELECT a, b, i, j, (x1 - x0) * (y1 - y0) AS p,
+                   greatest(0, least(x1, y1) - greatest(x0, y0)) AS full_p
+            FROM bounds),
+        distances AS (
+            SELECT a, b, k, SUM(f * f / p) AS distance
+            FROM excess JOIN cells0 USING (a, b, i, j) GROUP BY a, b, k),
+        largest AS (SELECT a, b, SUM((full_p - p) * (full_p - p) / p) AS most FROM cells0 GROUP BY a, b),
+        wanted AS (
+            SELECT column_name, a, b, chi2, t, (a - 1) * (b - 1) AS pedestal, t * (least(a, b) - 1) AS top,
+                   (chi2 - (a - 1) * (b - 1)) / (t * (least(a, b) - 1) - (a - 1) * (b - 1)) * most AS distance
+            FROM sums JOIN sizes USING (column_name) JOIN largest USING (a, b)),
+        around AS (
+            SELECT w.column_name, MAX(w.distance) AS wanted, MAX(d.k) AS k, MAX(d.distance) AS low
+            FROM wanted w JOIN distances d ON d.a = w.a AND d.b = w.b AND d.distance <= w.distance
+            GROUP BY w.column_name),
+        solved AS (
+            SELECT w.column_name,
+                   CASE WHEN w.chi2 <= w.pedestal THEN 0 WHEN w.chi2 >= w.top THEN 1
+                        ELSE (r.k + (r.wanted - r.low) / (d.distance - r.low)) * 0.999 / {steps} END AS phi
+            FROM wanted w LEFT JOIN around r USING (column_name)
+            LEFT JOIN distances d ON d.a = w.a AND d.b = w.b AND d.k = r.k + 1)"""
+    value = "(SELECT MAX(phi) FROM solved s WHERE s.column_name = sums.column_name)"
+    return _chi_square(more, f", {r(value, 4)} AS phi_k")
+
+
 _SEATS = "FROM places WHERE seats < 800"
 _BILL_TEXT = "list_transform(regexp_extract_all(avg_bill, '[0-9]+'), lambda n: CAST(n AS DOUBLE))"
 
@@ -226,6 +290,7 @@ SQL = {
                (SELECT {re(mean("rating"))} FROM places) AS overall_rating
         FROM places GROUP BY category""",
     "rating_chi_square": _chi_square(),
+    "rating_association": _phi_k(),
     "rating_by_price": f"""
         WITH {_PLACES},
         {_box("SELECT price, rating FROM places WHERE price IS NOT NULL", "rating", "price",

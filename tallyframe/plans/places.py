@@ -238,7 +238,9 @@ def rating_association(places: DataFrame, bins: int = 10) -> DataFrame:
     columns = staged(places.select("rating", *ASSOCIATED), "associated")
     return association(columns, "rating", ASSOCIATED, INTERVAL, bins).orderBy(
         F.col("phi_k").desc_nulls_last(), "column_name"
-    ).withColumns({c: half_up(c, 6) for c in ("chi2", "cramers_v", "phi_k")})
+    ).withColumns({
+        "chi2": half_up("chi2", 6), "cramers_v": half_up("cramers_v", 6), "phi_k": half_up("phi_k", 4),
+    })
 
 
 def rating_chi_square(places: DataFrame, bins: int = 10) -> DataFrame:

@@ -16,8 +16,7 @@ def test_matches_sql(spark, duck, data_dir, name):
 
 def test_every_analysis_is_checked():
     assert set(SQL) <= set(QUERIES)
-    # phi_K has no closed form; test_association covers it.
-    assert set(QUERIES) - set(SQL) == {"rating_association"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_kinds_tell_types_apart():
