@@ -19,6 +19,7 @@ from tallyframe.llm.common import map_texts
 HIDDEN = 10
 LONGEST = 24  # bytes of a sequence; longer words are read in parts of that length
 SAMPLE_PER_LANGUAGE = 400
+SAMPLE_ROWS = 6_400  # of all languages together
 SAMPLE_BYTES = 20_000  # longer documents are not sampled for training
 LANGUAGES = 64
 STEPS, BATCH, RATE = 500, 384, 0.01
@@ -182,7 +183,7 @@ class Network:
 def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_bytes: int) -> dict:
     """Texts by language: at most so many each, those that a hash of the row puts first.
 
-    Rows are taken below a share of the hash range that about twice as many rows
+    With many languages each gets its part of ``SAMPLE_ROWS``.  Rows are taken below a share of the hash range that about twice as many rows
     of the language reach, so that one scan finds all samples.
     """
     labelled = docs.select(
@@ -192,6 +193,7 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, m
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
+    per_language = min(per_language, max(1, SAMPLE_ROWS // len(counts)))
     near = F.lit(False)
     for row in counts:
         share = min(1.0, 2.0 * per_language / row["count"])
