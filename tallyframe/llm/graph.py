@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tallyframe.sources.staging import staged
 
@@ -33,7 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         large = (
             both.where("to > node").join(least, "node")
             .select(F.col("to").alias("node"), F.col("least").alias("to"))
-            .distinct()
         )
         # Small star: a node and its smaller neighbours move to the smallest of them.
         smallest = large.groupBy("node").agg(F.min("to").alias("least"))
@@ -42,10 +41,12 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("to").alias("node"), F.col("least").alias("to"))
             .union(smallest.select("node", "least")).distinct()
         )
-        edges = staged(small, "links")
-        now = edges.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("s")
-        ).first()
+        seen = Observation()
+        edges = staged(small.observe(
+            seen, F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("s"),
+        ), "links")
+        now = seen.get
         if now == state:
             break
         state = now

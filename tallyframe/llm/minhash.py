@@ -314,11 +314,12 @@ def near_duplicates(
         "sets",
     )
     links = staged(verified(near, sets, percent), "links")
-    first = staged(components(links), "components")
+    first = components(links)
     more = staged(
         rest_links(buckets.select("bucket", "id"), first, signatures, sets, stops, percent), "links"
     )
-    joined = components(links.union(more))
+    # The stars found first stand for the links they came from.
+    joined = components(first.toDF("a", "b").union(more))
     per_class = classes.select("class", "id").join(joined.toDF("id", "component"), "id", "left").select(
         "class", F.coalesce("component", "id").alias("component")
     )
