@@ -13,8 +13,8 @@ values of a band of the signature share a bucket.
    threshold falls below ``MISS``.  Survivors are verified on their whole sets.
 3. Most buckets now lie within one component.  In the others, members outside
    the bucket's largest component are compared with all members of other
-   components, block by block: signatures first, then whole sets, and a block
-   returns only a spanning forest.  So no link is lost but with a probability of
+   components, two blocks of bounded bytes at a time: signatures first, then
+   whole sets, and a pair of blocks returns only a spanning forest.  So no link is lost but with a probability of
    the order of 1e-6: a pair at the threshold shares no bucket with probability
    (1 - 0.85**5)**25 = 4e-7 and is given up with about ``MISS`` a batch.
 """
@@ -213,17 +213,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(rows: pd.DataFrame, stops: list[tuple[int, int]], percent: int) -> pd.DataFrame:
-    """A spanning forest of the links in one block of a bucket.
+    """A spanning forest of the links between two blocks of a bucket.
 
-    ``probe`` rows are compared with the block's ``own`` rows of other components.
+    Rows of the ``low`` block are compared with those of the ``high`` one that lie
+    in other components, and, where ``within`` says so, with each other.
     """
-    ids, own = rows["id"].to_numpy(), rows["own"].to_numpy(bool)
+    ids, low = rows["id"].to_numpy(), rows["low"].to_numpy() == rows["block"].to_numpy()
+    within = bool(rows["within"].iloc[0])
     component = rows["component"].to_numpy().copy()
     signatures = _signatures(rows["signature"])
     sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
-    out = []
-    for i in np.flatnonzero(rows["probe"].to_numpy(bool)):
-        j = np.flatnonzero(own & (component != component[i]))
+    places, out = np.arange(len(ids)), []
+    for i in np.flatnonzero(low):
+        other = ~low | (places > i) if within else ~low
+        j = np.flatnonzero(other & (component != component[i]))
         if len(j):
             some = np.broadcast_to(signatures[i], (len(j), signatures.shape[1]))
             j = j[survivors(some, signatures[j], stops)]
@@ -234,14 +237,44 @@ def block_links(rows: pd.DataFrame, stops: list[tuple[int, int]], percent: int)
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def block_pairs(members: DataFrame, sizes: DataFrame, block_bytes: int) -> DataFrame:
+    """Members (bucket, id, component, probe) dealt to pairs of blocks (low, high).
+
+    Probes and the others go to blocks of their own, of about ``block_bytes`` by
+    ``sizes`` (id, bytes); probe blocks have the lower numbers.  Every probe block
+    meets every higher block once, and is compared ``within`` itself where it
+    meets the next one, so two rows meet once if one of them is a probe.
+    """
+    sized = members.join(sizes, "id")
+    wanted = [
+        F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.when(side, F.col("bytes"))) / block_bytes))
+        for side in (F.col("probe"), ~F.col("probe"))
+    ]
+    counts = sized.groupBy("bucket").agg(wanted[0].alias("probes"), wanted[1].alias("others"))
+    zero, drawn = F.lit(0).cast("long"), F.xxhash64("id")
+    block = F.when(F.col("probe"), F.pmod(drawn, F.col("probes"))).otherwise(
+        F.col("probes") + F.pmod(drawn, F.col("others"))
+    )
+    last = F.when(F.col("probe"), F.col("probes") + F.col("others")).otherwise(F.col("probes")) - 1
+    return (
+        members.join(counts, "bucket")
+        .select("bucket", "id", "component", block.alias("block"), F.explode(F.sequence(zero, last)).alias("met"))
+        .where("met != block")
+        .select(
+            "bucket", "id", "component", "block", F.least("block", "met").alias("low"),
+            F.greatest("block", "met").alias("high"),
+        ).withColumn("within", F.col("high") == F.col("low") + 1)
+    )
+
+
 def rest_links(
     buckets: DataFrame, joined: DataFrame, signatures: DataFrame, sets: DataFrame,
-    stops: list[tuple[int, int]], percent: int,
+    stops: list[tuple[int, int]], percent: int, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Links between members of one bucket that lie in different components.
 
     Such a pair has a member outside the bucket's largest component, a probe.
-    The others are dealt to blocks of bounded bytes; probes visit all blocks.
+    A task holds two blocks of bounded bytes, whatever a bucket's size.
     """
     labelled = buckets.join(joined.toDF("id", "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
@@ -258,19 +291,10 @@ def rest_links(
         .select("bucket", "id", "component", (F.col("component") != F.col("main")).alias("probe")),
         "open-buckets",
     )
-    sizes = sets.select("id", F.octet_length("set").alias("bytes"))
-    blocks = members.join(sizes, "id").groupBy("bucket").agg(
-        F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks")
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = members.join(blocks, "bucket").select(
-        "bucket", "id", "component", "probe", own.alias("home"),
-        F.explode(
-            F.when(F.col("probe"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
-        ).alias("block"),
-    ).withColumn("own", F.col("home") == F.col("block")).drop("home")
+    sizes = sets.select("id", (F.octet_length("set") + 4 * stops[-1][0]).alias("bytes"))
+    dealt = block_pairs(members, sizes, block_bytes)
     return (
-        dealt.join(signatures, "id").join(sets, "id").groupBy("bucket", "block")
+        dealt.join(signatures, "id").join(sets, "id").groupBy("bucket", "low", "high")
         .applyInPandas(lambda rows: block_links(rows, stops, percent), "a long, b long")
     )
 

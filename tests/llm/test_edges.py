@@ -287,3 +287,40 @@ def test_urls(spark):
     assert urls.judge_urls(table.limit(0), model).count() == 0
     none = urls.train(spark.createDataFrame([], "url string, label int"))
     assert {r.verdict for r in urls.judge_urls(table, none).where("rule is null").collect()} == {"allow"}
+
+
+def test_minhash_hot_bucket_of_unlinked_members(spark):
+    """Most members are probes: no task holds more than two blocks, and any two rows of which one is a probe meet once."""
+    draw = random.Random(12)
+    rows, values = 300, 125
+    sets = {i: np.unique(np.array([draw.getrandbits(63) for _ in range(60)], np.uint64)) for i in range(rows)}
+    sets[250], sets[299] = sets[3], sets[8]  # the only links, between probes
+    by = minhash.multipliers(values)
+    component = {i: min(i, 40) if i < 60 else i for i in range(rows)}  # 40 to 59 are the largest one
+    component |= {i: 40 for i in range(40, 60)}
+    component[250], component[299] = 250, 299
+    table = spark.createDataFrame([(i, sets[i].tobytes(), minhash.signature(sets[i], by).tobytes()) for i in sets], "id long, set binary, signature binary")
+    buckets = spark.createDataFrame([(7, i) for i in sets], "bucket long, id long")
+    joined = spark.createDataFrame([(i, component[i]) for i in range(40, 60)], "id long, component long")
+    stops = minhash.least_agreements(0.85, 1e-6, values, 25)
+    block_bytes = 20_000
+    members = spark.createDataFrame([(7, i, component[i], not 40 <= i < 60) for i in sets], "bucket long, id long, component long, probe boolean")
+    sizes = table.selectExpr("id", "octet_length(set) + 500 as bytes")
+    held, met = {}, {}
+    for r in minhash.block_pairs(members, sizes, block_bytes).collect():
+        held.setdefault((r.low, r.high), []).append(r)
+    for (low, high), some in held.items():
+        assert sum(len(sets[r.id]) * 8 + 500 for r in some) < 2 * 1.5 * block_bytes
+        left = [r.id for r in some if r.block == low]
+        right = [r.id for r in some if r.block == high]
+        pairs = [(a, b) for a in left for b in right]
+        if some[0].within:
+            pairs += [(a, b) for a in left for b in left if a < b]
+        for a, b in pairs:
+            met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    assert len(held) > 20
+    assert met == {(a, b): 1 for a in sets for b in sets if a < b and not (40 <= a < 60 and 40 <= b < 60)}
+    ours = minhash.rest_links(
+        buckets, joined, table.select("id", "signature"), table.select("id", "set"), stops, 85, block_bytes
+    ).collect()
+    assert sorted((min(r), max(r)) for r in ours) == [(3, 250), (8, 299)]
