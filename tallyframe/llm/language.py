@@ -211,45 +211,6 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, m
     return out
 
 
-def train(self, words: list[list[bytes]], steps: int = STEPS, seed: int = 11) -> list[float]:
-        """Adam on batches that hold words of every language equally often."""
-        draw = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        losses = []
-        each = max(8, BATCH // len(words))
-        labels = np.repeat(np.arange(len(words)), each)
-        for step in range(1, steps + 1):
-            batch = [some[i] for some in words for i in draw.integers(0, len(some), each)]
-            loss, grads = self.gradients(batch, labels)
-            losses.append(loss)
-            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grads.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                scale = np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8
-                self.weights[k] -= (rate * first[k] / (1 - 0.9**step) / scale).astype(np.float32)
-        return losses
-
-
-def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_bytes: int) -> dict:
-    """Texts by language: at most so many each, in the order of a hash of their key."""
-    labelled = docs.select(
-        docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"),
-        F.xxhash64(docs[key].cast("string"), docs[text]).alias("order"),
-    ).where("lang is not null and text is not null").where(F.octet_length("text") <= most_bytes)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    out = {}
-    for row in sorted(counts.collect(), key=lambda r: r.lang):
-        of = labelled.where(F.col("lang") == row.lang)
-        # A bounded share of the hash range; the limit only trims its random excess.
-        share = min(1.0, 2.0 * per_language / row["count"] + 1e-6)
-        if share < 1:
-            of = of.where(F.col("order") < F.lit(int(-(2**63) + share * 2**64)))
-        out[row.lang] = [r.text for r in of.orderBy("order").limit(per_language).collect()]
-    return out
-
-
 def train(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     per_language: int = SAMPLE_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES, steps: int = STEPS,

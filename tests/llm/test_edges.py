@@ -324,3 +324,11 @@ def test_minhash_hot_bucket_of_unlinked_members(spark):
         buckets, joined, table.select("id", "signature"), table.select("id", "set"), stops, 85, block_bytes
     ).collect()
     assert sorted((min(r), max(r)) for r in ours) == [(3, 250), (8, 299)]
+
+
+def test_the_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
+    rows = [(i, f"wort{i}", f"l{i % 40:02}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(docs, "text", "lang", "doc_id", 400, language.SAMPLE_BYTES)
+    assert 0 < sum(map(len, found.values())) <= 100
