@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a pooled probability below ``LEAST_SCORE``.  If no document names a language
     there is nothing to learn from and all documents with letters stay.
     """
-    network = language.train(docs)
+    network = language.train(docs, long_texts=True)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = language.identify(_kept(docs), network, keep=("kept",))

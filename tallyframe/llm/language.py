@@ -12,21 +12,24 @@ distinct word once and remembers its sums.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.llm.common import map_texts
+from tallyframe.sources.staging import staged
 
 HIDDEN = 10
 LONGEST = 24  # bytes of a sequence; longer words are read in parts of that length
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_ROWS = 6_400  # of all languages together
-SAMPLE_BYTES = 20_000  # longer documents are not sampled for training
-LANGUAGES = 64
+SAMPLE_BYTES = 20_000  # longer documents are left out, or stand with a window of their words
+SAMPLE_WORDS = 4_000_000  # of all languages together
 STEPS, BATCH, RATE = 500, 384, 0.01
 REMEMBERED = 1_000_000
+REMEMBERED_SUMS = 64_000_000  # words times languages
 WORDS_AT_ONCE = 2048
 UNDETERMINED = "und"
 
+_LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
@@ -180,46 +183,72 @@ class Network:
         return losses
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_bytes: int) -> dict:
+def sample(
+    docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_bytes: int,
+    long_texts: bool = False,
+) -> dict[str, list[str]]:
     """Texts by language: at most so many each, those that a hash of the row puts first.
 
-    With many languages each gets its part of ``SAMPLE_ROWS``.  Rows are taken below a share of the hash range that about twice as many rows
-    of the language reach, so that one scan finds all samples.
+    Every language has its part of ``SAMPLE_ROWS``, one row at least.  Longer
+    texts are left out or, with ``long_texts``, stand with a window of their words
+    that is drawn by the hash, so that no language with a letter is missed.  Rows are taken
+    below a share of the hash range that more rows reach than are wanted, and the
+    first row of a language always, so that one scan finds all samples.
     """
     labelled = docs.select(
         docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"),
         F.xxhash64(docs[key].cast("string"), docs[text]).alias("order"),
     ).where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    if long_texts:
+        labelled = labelled.where(F.col("text").rlike(_LETTER))
+    else:
+        labelled = labelled.where(F.octet_length("text") <= most_bytes)
+    counts = staged(
+        labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("least")), "languages"
+    )
+    languages = counts.count()
+    if not languages:
         return {}
-    per_language = min(per_language, max(1, SAMPLE_ROWS // len(counts)))
-    near = F.lit(False)
-    for row in counts:
-        share = min(1.0, 2.0 * per_language / row["count"])
-        below = F.lit(True) if share == 1.0 else F.col("order") < int(2**63 * (2 * share - 1))
-        near |= (F.col("lang") == row.lang) & below
+    per_language = min(per_language, max(1, SAMPLE_ROWS // languages))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 20) / F.col("n"))
+    below = F.when(share < 1, (F.lit(float(2**63)) * (2 * share - 1)).cast("long")).otherwise(F.lit(2**63 - 1))
+    found = labelled.join(
+        counts.select("lang", F.greatest("least", below).alias("below")), "lang"
+    ).where("order <= below")
+    if long_texts:
+        # Without runs of other characters every window of two characters has a letter.
+        dense = F.regexp_replace("text", f"(?:(?!{_LETTER})[\\s\\S])+", " ")
+        wide = max(2, most_bytes // 4)
+        start = F.pmod("order", F.greatest(F.lit(1), F.length("dense") - wide + 1)).cast("int") + 1
+        found = found.withColumn("dense", F.when(F.octet_length("text") > most_bytes, dense)).withColumn(
+            "text", F.coalesce(F.col("dense").substr(start, F.lit(wide)), "text")
+        )
+    first = Window.partitionBy("lang").orderBy("order", "text")
     rows = (
-        labelled.where(near & (F.octet_length("text") <= most_bytes))
-        .orderBy("order", "lang").limit(3 * per_language * len(counts)).collect()
+        found.select("lang", "text", "order", F.row_number().over(first).alias("place"))
+        .where(F.col("place") <= per_language).orderBy("lang", "place").toLocalIterator()
     )
     out: dict[str, list[str]] = {}
     for row in rows:
-        texts = out.setdefault(row.lang, [])
-        if len(texts) < per_language:
-            texts.append(row.text)
+        out.setdefault(row.lang, []).append(row.text)
     return out
 
 
 def train(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     per_language: int = SAMPLE_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES, steps: int = STEPS,
+    long_texts: bool = False,
 ) -> Network | None:
-    """A network fitted on a bounded sample of the labelled rows; none without such rows."""
-    texts = sample(docs, text, lang, key, per_language, most_bytes)
-    words = {}
+    """A network fitted on a bounded sample of the labelled rows; none without such rows.
+
+    With ``long_texts`` every language that labels a letter is learned.
+    """
+    texts = sample(docs, text, lang, key, per_language, most_bytes, long_texts)
+    words, most, draw = {}, max(20_000, SAMPLE_WORDS // max(1, len(texts))), np.random.default_rng(5)
     for language, some in texts.items():
         parts = [w[:LONGEST] for t in some for w in words_of(t)]
+        if len(parts) > most:
+            parts = [parts[i] for i in draw.choice(len(parts), most, replace=False)]
         if parts:
             words[language] = parts
     if not words:
@@ -235,12 +264,13 @@ class Identifier:
     def __init__(self, network: Network):
         self.network, self.rows = network, {}
         self.table = np.zeros((0, len(network.languages)), np.float32)
+        self.most = min(REMEMBERED, REMEMBERED_SUMS // len(network.languages))
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         words = [words_of(t) for t in texts]
         needed = set().union(*words)
         new = list(needed.difference(self.rows))
-        if len(self.rows) + len(new) > REMEMBERED:
+        if len(self.rows) + len(new) > self.most:
             self.rows, self.table, new = {}, self.table[:0], list(needed)
         if new:
             self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new))))

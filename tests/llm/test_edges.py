@@ -326,9 +326,23 @@ def test_minhash_hot_bucket_of_unlinked_members(spark):
     assert sorted((min(r), max(r)) for r in ours) == [(3, 250), (8, 299)]
 
 
+def test_every_language_is_sampled(spark, empty):
+    """More languages than 64, one only in long texts, one hidden behind other characters, one of equal rows."""
+    rows = [(i, f"wort{i % 90} satz", f"l{i % 90:02}") for i in range(900)]
+    rows += [(1000 + i, f"lang{i} " * 9000, "long") for i in range(3)]
+    rows += [(2000, "1 2 " * 20_000 + "é", "late")] + [(3000, "same", "same")] * 500 + [(4000, "12 34", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(docs, "text", "lang", "doc_id", 400, language.SAMPLE_BYTES, long_texts=True)
+    assert set(found) == {f"l{i:02}" for i in range(90)} | {"long", "late", "same"}
+    assert all(len(t.encode()) <= language.SAMPLE_BYTES and language.words_of(t) for some in found.values() for t in some)
+    assert len(found["long"]) == 3 and sum(map(len, found.values())) <= language.SAMPLE_ROWS
+    assert language.train(docs, steps=1, long_texts=True).languages == sorted(found)
+    assert language.train(empty, long_texts=True) is None
+
+
 def test_the_sample_is_bounded_over_all_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
     rows = [(i, f"wort{i}", f"l{i % 40:02}") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = language.sample(docs, "text", "lang", "doc_id", 400, language.SAMPLE_BYTES)
-    assert 0 < sum(map(len, found.values())) <= 100
+    assert len(found) == 40 and all(len(some) == 2 for some in found.values())
