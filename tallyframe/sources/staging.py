@@ -38,6 +38,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once, dealt to buckets by a column, and return a scan that knows it.
+
+    Joins and groupings by that column read the buckets as they lie; of a join
+    only the other side moves.  The catalog entry that the writer needs is
+    dropped at once, the files stay.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"{label}-{uuid.uuid4().hex}"
+    name = f"staged_{label.replace('-', '_')}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}"
+    (
+        df.repartition(buckets, column).write.format("parquet").option("path", path)
+        .bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    )
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def release(spark: SparkSession) -> None:
     """Delete the staged tables of this application once their results are taken."""
     path = spark._jvm.org.apache.hadoop.fs.Path(
