@@ -1,4 +1,4 @@
-"""The ten operators bound to the tables, with production parameters."""
+"""The operators bound to the tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import (
-    decontaminate, language, minhash, packing, pii, sharding, tokens, urls, vectors, warc,
+    clusters, decontaminate, language, minhash, oracles, packing, pii, sharding, tokens, urls,
+    vectors, warc,
 )
 from tallyframe.sources.files import load
 
@@ -68,6 +69,15 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.find_passages(docs, benchmark)
 
 
+def op11_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    """Forty centroids, moved five times; the first ones are drawn by a hash of the id."""
+    made = clusters.cluster_vectors(
+        load(spark, directory, "embeddings"), clusters=40, rounds=5, width=64,
+        start=lambda vec_id: F.sha2(F.concat(F.lit("2:"), vec_id.cast("string")), 256),
+    )
+    return clusters.assignments(made, spark).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_urls": op2_urls,
@@ -79,5 +89,6 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_clusters": op11_clusters,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_clusters": oracles.clusters(40, 5, 64)}
