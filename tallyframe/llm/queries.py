@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import (
-    clusters, decontaminate, language, minhash, oracles, packing, pii, sharding, tokens, urls,
-    vectors, warc,
+    clusters, decontaminate, language, minhash, oracles, packing, pii, records, sharding, tokens,
+    urls, vectors, warc,
 )
 from tallyframe.sources.files import load
 
@@ -78,6 +78,14 @@ def op11_clusters(spark: SparkSession, directory: str) -> DataFrame:
     return clusters.assignments(made, spark).withColumnRenamed("id", "vec_id")
 
 
+def op12_records(spark: SparkSession, directory: str) -> DataFrame:
+    """All token sequences, written as records in ascending order and read back."""
+    folder, path = records.new_folder(spark), public_tokenizers.path("word_bpe_49k.json")
+    records.write_records(load(spark, directory, "documents"), folder, path, end_id=2)
+    records.write_index(spark, folder)
+    return records.read_index(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_urls": op2_urls,
@@ -90,5 +98,6 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op11_clusters": op11_clusters,
+    "op12_records": op12_records,
 }
 ORACLE_SQL: dict[str, str] = {"op11_clusters": oracles.clusters(40, 5, 64)}
