@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,18 @@ ROWS_AT_ONCE = 256
 BYTES_AT_ONCE = 16 << 20
 
 
+def kept_in_worker(name: Hashable, make: Callable):
+    """What ``make`` returns, made once per Python worker and kept for its later tasks.
+
+    Code sent with the plan is new in every task, so the value hangs on a module
+    of the process.  It must not depend on the data, or only as a memo.
+    """
+    memo = sys.modules.setdefault("tallyframe_worker", ModuleType("tallyframe_worker")).__dict__
+    if name not in memo:
+        memo[name] = make()
+    return memo[name]
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds few rows and, but for one long row, few bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -3,10 +3,11 @@
 A record file is a run of frames, each one sequence:
 
     length of the body, 64 bits | masked checksum of these 8 bytes, 32 bits
-    body: 1 or 0 (has an id), 32 bits | id, 64 bits | token ids, 32 bits each
+    body: 1 or 0 (has an id), 16 bits | bytes per token id, 16 bits | id, 64 bits | token ids
     masked checksum of the body, 32 bits | one line feed
 
-All numbers are little-endian.  Checksums are CRC-32C, masked so that a checksum
+All numbers are little-endian.  Token ids take two bytes where the vocabulary
+allows it, else four.  Checksums are CRC-32C, masked so that a checksum
 over data that hold checksums stays strong.  The line feed is the separator of
 Spark's text writer, which writes the frames: files appear through its commit
 protocol on whatever file system the folder names, and a lost executor leaves no
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallyframe.llm.common import BYTES_AT_ONCE, slices
+from tallyframe.llm.common import BYTES_AT_ONCE, kept_in_worker, slices
 from tallyframe.llm.tokens import WordIds
 from tallyframe.sources.staging import shared_folder
 
 FILE_BYTES = 32 << 20  # of text a file; its ids take about as much
-CHUNK = 64
+CHUNK = 128
 END = b"\n"
-# Length and its checksum; the body's flag and id; the body's checksum.
-HEAD, BODY, TAIL = "<QI", "<Iq", "<I"
+# Length and its checksum; the body's flag, width and id; the body's checksum.
+HEAD, BODY, TAIL = "<QI", "<HHq", "<I"
 HEAD_BYTES, BODY_BYTES, TAIL_BYTES = 12, 12, 4
 
 # The reflected polynomial of CRC-32C and the constant of the mask.
@@ -46,7 +47,7 @@ POLYNOMIAL = 0x82F63B78
 MASK = 0xA282EAD8
 
 
-_tables: dict[int, np.ndarray] = {}  # per process: maps by level, the byte table under -1
+_tables: dict[int, np.ndarray] = {}  # maps by level; under -1 and -2 the steps of one and two bytes
 
 
 def _byte_table() -> np.ndarray:
@@ -70,6 +71,12 @@ def _applied(tables: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _word_table() -> np.ndarray:
+    if -2 not in _tables:
+        _tables[-2] = _applied(_zeros(1), np.arange(1 << 16, dtype=np.uint32))
+    return _tables[-2]
+
+
 def _zeros(level: int) -> np.ndarray:
     """The map of a checksum register that is fed 2**level zero bytes."""
     if level not in _tables:
@@ -115,9 +122,9 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     flat = np.zeros(int(ends[-1]) * CHUNK, np.uint8)
     for end, part in zip((ends * CHUNK).tolist(), parts):
         flat[end - len(part):end] = np.frombuffer(part, np.uint8)
-    table, crc = _byte_table(), np.zeros(int(ends[-1]), np.uint32)
-    for column in np.ascontiguousarray(flat.reshape(-1, CHUNK).T):
-        crc = table[(crc ^ column) & 255] ^ (crc >> 8)
+    table, crc = _word_table(), np.zeros(int(ends[-1]), np.uint32)
+    for column in np.ascontiguousarray(flat.view("<u2").reshape(-1, CHUNK // 2).T):
+        crc = table[(crc ^ column) & 0xFFFF] ^ (crc >> 16)
     following = np.repeat(ends, chunks) - 1 - np.arange(len(crc))
     whole = np.bitwise_xor.reduceat(_fed(crc, following, CHUNK.bit_length() - 1), ends - chunks)
     return whole ^ _fed(np.full(len(parts), 0xFFFFFFFF, np.uint32), sizes, 0) ^ np.uint32(0xFFFFFFFF)
@@ -127,9 +134,15 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> 15) | (crc << 17)) + np.uint32(MASK)
 
 
-def frames(keys: list[int | None], ids: list[bytes]) -> list[bytes]:
-    """Frames without their separator."""
-    bodies = [struct.pack(BODY, k is not None, k or 0) + i for k, i in zip(keys, ids)]
+def resized(ids: bytes, old: int, new: int) -> bytes:
+    return ids if old == new else np.frombuffer(ids, f"<u{old}").astype(f"<u{new}").tobytes()
+
+
+def frames(keys: list[int | None], ids: list[bytes], width: int = 4) -> list[bytes]:
+    """Frames without their separator, of ids of four bytes each."""
+    bodies = [
+        struct.pack(BODY, k is not None, width, k or 0) + resized(i, 4, width) for k, i in zip(keys, ids)
+    ]
     lengths = [struct.pack("<Q", len(b)) for b in bodies]
     sums = masked(crc32c(lengths)).tolist(), masked(crc32c(bodies)).tolist()
     return [
@@ -139,7 +152,7 @@ def frames(keys: list[int | None], ids: list[bytes]) -> list[bytes]:
 
 
 def parsed(data: bytes, name: str, at: int = 0, until: int | None = None):
-    """Lists (offset, size, key, ids) of frames, some megabytes at a time; all checksums are verified."""
+    """Lists (offset, size, key, ids of four bytes), some megabytes at a time; all checksums are verified."""
     until = len(data) if until is None else until
     while at < until:
         offsets, bodies, lengths, sums, held = [], [], [], [], 0
@@ -165,7 +178,8 @@ def parsed(data: bytes, name: str, at: int = 0, until: int | None = None):
         keys = [struct.unpack_from(BODY, b) for b in bodies]
         yield (
             offsets, [HEAD_BYTES + len(b) + TAIL_BYTES + len(END) for b in bodies],
-            [k if known else None for known, k in keys], [b[BODY_BYTES:] for b in bodies],
+            [k if known else None for known, _, k in keys],
+            [resized(b[BODY_BYTES:], width, 4) for b, (_, width, _) in zip(bodies, keys)],
         )
 
 
@@ -191,10 +205,12 @@ def write_records(
     sorted_rows = rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
 
     def frame(batches):
-        encode = WordIds(path, end_id)
+        encode = kept_in_worker(("word ids", path, end_id), lambda: WordIds(path, end_id))
+        most = max(encode.pieces.encoder.get_vocab_size(), 1 + (end_id or 0))
+        width = 2 if most <= 1 << 16 else 4
         for batch in batches:
             for part in slices(batch, "text"):
-                made = frames(part.column("id").to_pylist(), encode(part.column("text").to_pylist()))
+                made = frames(part.column("id").to_pylist(), encode(part.column("text").to_pylist()), width)
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
 
     framed = sorted_rows.select("id", "text").mapInArrow(frame, "frame binary")

@@ -112,10 +112,12 @@ def test_empty_table(spark, folder):
     assert records.read_index(spark, folder).collect() == []
 
 
-def test_damage_is_found(tmp_path):
-    made = b"".join(f + b"\n" for f in records.frames([1, None, 3], [b"abcd", b"", b"\n" * 8]))
+@pytest.mark.parametrize("width", [2, 4])
+def test_damage_is_found(width):
+    ids = [np.array(i, "<u4").tobytes() for i in ([7, 65_535], [], [10, 2570, 0])]
+    made = b"".join(f + b"\n" for f in records.frames([1, None, 3], ids, width))
     found = [part for part in records.parsed(made, "f")]
-    assert found[0][2:] == ([1, None, 3], [b"abcd", b"", b"\n" * 8])
+    assert found[0][2:] == ([1, None, 3], ids)
     for at in range(len(made)):
         broken = bytearray(made)
         broken[at] ^= 4
