@@ -228,6 +228,8 @@ def cluster_vectors(
     the centroids to begin with.  Rows count whose vector has ``width``
     components, none null or non-finite.  Repeated rows are vectors of their own;
     a row without id is a vector, and comes last in the starting order.
+    Components whose squared distances 64 bits do not hold (beyond 2**27 when
+    scaled) raise.
     """
     finite = F.forall(
         column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import (
-    clusters, decontaminate, language, minhash, oracles, packing, pii, records, sharding, tokens,
-    urls, vectors, warc,
+    clusters, decontaminate, language, minhash, negatives, oracles, packing, pii, records,
+    sharding, tokens, urls, vectors, warc,
 )
 from tallyframe.sources.files import load
 
@@ -86,6 +86,15 @@ def op12_records(spark: SparkSession, directory: str) -> DataFrame:
     return records.read_index(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op13_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Anchors are the ids divisible by 50; labels of ids divisible by 7 move on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        load(spark, directory, "embeddings"), label, anchors=F.col("vec_id") % 50 == 0,
+        positives=5, negatives=3, low=50, high=95,
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_urls": op2_urls,
@@ -99,5 +108,9 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_clusters": op11_clusters,
     "op12_records": op12_records,
+    "op13_negatives": op13_negatives,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_clusters": oracles.clusters(40, 5, 64),
+    "op13_negatives": oracles.NEGATIVES,
 }
-ORACLE_SQL: dict[str, str] = {"op11_clusters": oracles.clusters(40, 5, 64)}
