@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallyframe.llm.common import BYTES_AT_ONCE, kept_in_worker, slices
-from tallyframe.llm.tokens import WordIds
+from tallyframe.llm.common import kept_in_worker, slices
+from tallyframe.llm.tokens import _COMMON, _WORD_LEVEL, BYTE_NAMES, Pieces, WordIds, packed
 from tallyframe.sources.staging import shared_folder
 
+REMEMBERED = 800_000
 FILE_BYTES = 32 << 20  # of text a file; its ids take about as much
 CHUNK = 128
+PARSED_BYTES = 2 << 20
 END = b"\n"
 # Length and its checksum; the body's flag, width and id; the body's checksum.
 HEAD, BODY, TAIL = "<QI", "<HHq", "<I"
@@ -152,11 +154,11 @@ def frames(keys: list[int | None], ids: list[bytes], width: int = 4) -> list[byt
 
 
 def parsed(data: bytes, name: str, at: int = 0, until: int | None = None):
-    """Lists (offset, size, key, ids of four bytes), some megabytes at a time; all checksums are verified."""
+    """Lists (offset, size, key, ids of four bytes), a few megabytes at a time; all checksums are verified."""
     until = len(data) if until is None else until
     while at < until:
         offsets, bodies, lengths, sums, held = [], [], [], [], 0
-        while at < until and held < BYTES_AT_ONCE:
+        while at < until and held < PARSED_BYTES:
             if until - at < HEAD_BYTES:
                 raise ValueError(f"{name}: frame cut off at {at}")
             length, first = struct.unpack_from(HEAD, data, at)
@@ -183,6 +185,34 @@ def parsed(data: bytes, name: str, at: int = 0, until: int | None = None):
         )
 
 
+class LeanPieces(Pieces):
+    """Pieces whose parts are remembered among them, each text once."""
+
+    def __missing__(self, piece: str) -> bytes:
+        if not _COMMON.fullmatch(piece) or "<|" in piece:
+            ids = packed(self.encoder.encode(piece, add_special_tokens=False).ids)
+        else:
+            parts = self.split(piece.lower())
+            if len(parts) > 1 or parts[0] != piece:
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                mapped = piece if piece.isascii() else "".join(map(BYTE_NAMES.__getitem__, piece.encode()))
+                ids = packed([t.id for t in self.tokenize(mapped)])
+        self[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+
+
+def word_ids(path: str, end_id: int | None) -> WordIds:
+    """The encoder of a worker, whose memory stays small over all of its tasks."""
+    made = WordIds(path, end_id)
+    made.pieces = LeanPieces(path, _WORD_LEVEL, lower=True)
+    return made
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/records-{uuid.uuid4().hex}"
 
@@ -205,7 +235,7 @@ def write_records(
     sorted_rows = rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
 
     def frame(batches):
-        encode = kept_in_worker(("word ids", path, end_id), lambda: WordIds(path, end_id))
+        encode = kept_in_worker(("word ids", path, end_id), lambda: word_ids(path, end_id))
         most = max(encode.pieces.encoder.get_vocab_size(), 1 + (end_id or 0))
         width = 2 if most <= 1 << 16 else 4
         for batch in batches:
