@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tallyframe.sources import quoted
+
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Scan one Parquet table of a directory."""
@@ -18,30 +20,31 @@ def read_csv(
     path: str,
     schema: StructType,
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
-    multi_line: bool = True,
 ) -> DataFrame:
     """Scan CSV files with a header under a declared schema.
 
-    The schema replaces inference, which would read every file twice.  Columns
-    of timestamp type are parsed while reading; a mixed column is declared as
-    string and split later.  Malformed cells raise instead of turning into null,
-    and so does a header that names other columns or another order.  Quotes inside
-    a quoted cell are doubled.  ``multi_line`` allows line breaks in quoted cells,
-    for which a file is read by one task; without such cells, turn it off so that
-    large files are split.
+    The schema replaces inference.  Columns of timestamp type are parsed while
+    reading; a mixed column is declared as string and split later.  Malformed
+    cells raise instead of turning into null, and so does a header that names
+    other columns or another order.  Quotes inside a quoted cell are doubled, and
+    quoted cells may hold line breaks: large files are split all the same (see
+    ``quoted``).  One scan that only counts quotes runs when this is called.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("timestampFormat", timestamp_format)
-        .option("timestampNTZFormat", timestamp_format)
-        .csv(path)
-    )
+    options = {
+        "quote": '"', "escape": '"',
+        "timestampFormat": timestamp_format, "timestampNTZFormat": timestamp_format,
+    }
+    splits = quoted.find_splits(spark, path)
+
+    def plain(paths: str | list[str]) -> DataFrame:
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        return reader.option("mode", "FAILFAST").options(**options).csv(paths)
+
+    if not splits.broken:
+        return plain(path)
+    found = quoted.records(spark, splits.broken, splits.inside)
+    broken = quoted.parsed(found, schema, {**options, "multiLine": "true"})
+    return plain(splits.plain).unionByName(broken) if splits.plain else broken
 
 
 def write_dataset(
