@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.functions.numeric import exact, half_up, quotient
+from tallyframe.functions.numeric import half_up, known, quotient, total
 from tallyframe.operators.joins import cohort_activity
 
 
@@ -63,9 +63,9 @@ def group_means_with_total(
     The overall mean comes from the sums of the groups, so rows are read once.
     """
     sums = df.groupBy(key).agg(
-        F.sum(exact(value)).alias("s"), F.count(value).alias("n")
+        total(value).alias("s"), F.count(known(value)).alias("n")
     )
-    overall = sums.agg(quotient(F.sum("s"), F.sum("n"))).scalar()
+    overall = sums.agg(quotient(total("s"), F.sum("n"))).scalar()
     return sums.where(F.col(key).isNotNull()).select(
         key, quotient("s", "n").alias(out), overall.alias(total_out)
     )

@@ -42,6 +42,84 @@ def _cell(value: Column) -> Column:
     return F.when(double > 0, magnitude).when(double < 0, -magnitude).otherwise(F.lit(0))
 
 
+class Cells:
+    """Rows of some measures counted per grid cell, and the distinct values of a few cells.
+
+    The first scan writes a row per non-empty cell: ``n``, ``low``, ``high`` and
+    what ``also`` names, mergeable figures such as moments.  The second one reads
+    only the cells that hold a wanted rank, or that ``more`` names, and writes
+    their distinct values with their counts.  Whatever is asked of a group is then
+    answered from these two tables: a cell counts as a whole, or by its values.
+
+    Missing values and not-a-number do not count.
+    """
+
+    def __init__(
+        self, df: DataFrame, values: Mapping[str, str], ranks, by: Sequence[str] = (),
+        also: Mapping[str, Column] | None = None, more=None,
+    ):
+        self.by, self.key = list(by), [*by, "measure"]
+        measures = df.select(*by, *[F.col(c).alias(m) for m, c in values.items()])
+        rows = measures.unpivot(self.by, list(values), "measure", "v")
+        present = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
+        rows = rows.where(present).withColumn("cell", _cell(F.col("v")))
+        cells = rows.groupBy(*self.key, "cell").agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+            *[c.alias(name) for name, c in (also or {}).items()],
+        )
+        # Written where it is read again: to find ranks, and to answer the rest.
+        self.cells = staged(cells, "cells") if also is not None or more is not None else cells
+        group = Window.partitionBy(*self.key)
+        until = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = (
+            self.cells.withColumn("total", F.sum("n").over(group))
+            .withColumn("last", F.sum("n").over(until))
+            .withColumn("first", F.col("last") - F.col("n"))
+            .withColumn("want", F.filter(
+                ranks(F.col("total")),
+                lambda r: (r["rank"] > F.col("first")) & (r["rank"] <= F.col("last")),
+            ))
+        )
+        if more is not None:
+            ranked = staged(ranked, "ranked-cells")
+        asked = F.size("want") > 0
+        kept = ranked.where(asked) if more is None else more(ranked, self.key).where(asked | F.col("more"))
+        # Written, so that the planner knows the true size of this side: it is
+        # broadcast below the configured threshold and shuffled above it.
+        self.wanted = staged(
+            kept.select(*self.key, "cell", "total", "first", "low", "high", "want"), "wanted-cells"
+        )
+        hits = _distinct(null_safe_join(rows, self.wanted, [*self.key, "cell"]), self.key)
+        self.values = staged(hits, "cell-values") if also is not None or more is not None else hits
+
+    def located(self) -> DataFrame:
+        """The wanted ranks: group columns, ``measure``, ``total``, ``label``, ``rank``, ``value``, ``below``."""
+        hits, part, base = _sliced(self.values.where(F.size("want") > 0), self.key)
+        within = (
+            Window.partitionBy(*part).orderBy("v")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        found = (
+            hits.withColumn("last", base + F.sum("n").over(within))
+            .withColumn("below", F.col("last") - F.col("n"))
+            .withColumn("want", F.filter(
+                "want", lambda r: (r["rank"] > F.col("below")) & (r["rank"] <= F.col("last"))
+            ))
+        )
+        return found.select(
+            *self.key, "total", F.explode("want").alias("w"), F.col("v").alias("value"), "below"
+        ).select(
+            *self.key, "total", F.col("w.label").alias("label"), F.col("w.rank").alias("rank"),
+            "value", "below",
+        )
+
+    def unread(self) -> DataFrame:
+        """The cells whose values were not read."""
+        return null_safe_join(
+            self.cells, self.wanted.select(*self.key, "cell"), [*self.key, "cell"], "left_anti"
+        )
+
+
 def order_statistics(
     df: DataFrame,
     values: Mapping[str, str],
@@ -56,55 +134,11 @@ def order_statistics(
     the group columns, ``measure``, ``total`` (the group's row count), ``label``,
     ``rank``, ``value`` and ``below``, the number of rows whose value is smaller.
     """
-    by = list(by)
-    key = [*by, "measure"]
-    measures = df.select(*by, *[F.col(c).alias(m) for m, c in values.items()])
-    rows = measures.unpivot(by, list(values), "measure", "v")
-    known = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
-    rows = rows.where(known).withColumn("cell", _cell(F.col("v")))
-
-    cells = rows.groupBy(*key, "cell").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    group = Window.partitionBy(*key)
-    until = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = (
-        cells.withColumn("total", F.sum("n").over(group))
-        .withColumn("last", F.sum("n").over(until))
-        .withColumn("first", F.col("last") - F.col("n"))
-        .withColumn("want", F.filter(
-            ranks(F.col("total")),
-            lambda r: (r["rank"] > F.col("first")) & (r["rank"] <= F.col("last")),
-        ))
-        .where(F.size("want") > 0)
-        .select(*key, "cell", "n", "total", "first", "low", "high", "want")
-    )
-    # Written, so that the planner knows the true size of this side: it is
-    # broadcast below the configured threshold and shuffled above it.
-    wanted = staged(wanted.drop("n"), "wanted-cells")
-    hits, part, base = _sliced(null_safe_join(rows, wanted, [*key, "cell"]), key)
-
-    within = (
-        Window.partitionBy(*part).orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    located = (
-        hits.withColumn("last", base + F.sum("n").over(within))
-        .withColumn("below", F.col("last") - F.col("n"))
-        .withColumn("want", F.filter(
-            "want", lambda r: (r["rank"] > F.col("below")) & (r["rank"] <= F.col("last"))
-        ))
-    )
-    return located.select(
-        *key, "total", F.explode("want").alias("w"), F.col("v").alias("value"), "below"
-    ).select(
-        *key, "total", F.col("w.label").alias("label"), F.col("w.rank").alias("rank"),
-        "value", "below",
-    )
+    return Cells(df, values, ranks, by).located()
 
 
-def _sliced(rows: DataFrame, key: Sequence[str]):
-    """Distinct values of crowded cells, cut into slices that one task can sort."""
+def _distinct(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Distinct values of the cells with their counts and the slice of the cell they lie in."""
     slice_of = F.when(
         F.col("high") > F.col("low"),
         F.floor(
@@ -112,9 +146,13 @@ def _sliced(rows: DataFrame, key: Sequence[str]):
             / (F.col("high") - F.col("low")).cast("double") * SLICES
         ),
     ).otherwise(F.lit(0))
-    hits = rows.groupBy(
+    return rows.groupBy(
         *key, "cell", "total", "first", "want", slice_of.alias("slice"), "v"
     ).agg(F.count("*").alias("n"))
+
+
+def _sliced(hits: DataFrame, key: Sequence[str]):
+    """Values of crowded cells with what lies before their slice, which one task can sort."""
     before = (
         Window.partitionBy(*key, "cell").orderBy("slice")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -145,14 +183,17 @@ def percentiles(
     fraction; with ``interpolate`` it lies linearly between two neighbours.
     Groups without any value are absent from the result.
     """
-    by = list(by)
-    fractions = {name: Decimal(str(p)) for name, (_, p) in specs.items()}
-    column_of = {name: c for name, (c, _) in specs.items()}
-    measures = {c: c for c in dict.fromkeys(column_of.values())}
+    measures = {c: c for c in dict.fromkeys(c for c, _ in specs.values())}
+    ranks = percentile_ranks([p for _, p in specs.values()], interpolate)
+    return picked_percentiles(order_statistics(df, measures, ranks, by), specs, by, interpolate)
+
+
+def percentile_ranks(fractions: Sequence[str | float], interpolate: bool):
+    """The ranks that percentiles of a group of n rows are taken from."""
 
     def ranks(n: Column) -> Column:
         wanted = []
-        for p in dict.fromkeys(fractions.values()):
+        for p in dict.fromkeys(Decimal(str(p)) for p in fractions):
             if interpolate:
                 low = F.floor((n - 1) * F.lit(p)) + 1
                 wanted.append(_rank_struct(f"{p}:low", low))
@@ -161,7 +202,16 @@ def percentiles(
                 wanted.append(_rank_struct(f"{p}", F.greatest(F.ceil(n * F.lit(p)), F.lit(1))))
         return F.array(*wanted)
 
-    found = order_statistics(df, measures, ranks, by)
+    return ranks
+
+
+def picked_percentiles(
+    found: DataFrame, specs: Mapping[str, tuple[str, str | float]], by: Sequence[str], interpolate: bool,
+) -> DataFrame:
+    """One row per group from the values at ``percentile_ranks``."""
+    by = list(by)
+    fractions = {name: Decimal(str(p)) for name, (_, p) in specs.items()}
+    column_of = {name: c for name, (c, _) in specs.items()}
 
     def picked(name: str, label: str, column: str = "value") -> Column:
         at = (F.col("measure") == column_of[name]) & (F.col("label") == label)
@@ -209,91 +259,51 @@ def median(df: DataFrame, column: str, out: str, by=()) -> DataFrame:
     return percentiles(df, {out: (column, "0.5")}, by, interpolate=True)
 
 
-def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFrame:
-    """Split all rows into ``k`` equal tiers by ``order``, ties by ``tie_break``.
+# The part of ``monotonically_increasing_id`` below the partition's number.
+_PLACE_BITS = 33
+
+
+def with_position(df: DataFrame, order: Sequence[Column], out: str, total: str) -> DataFrame:
+    """The place of every row in a total order, from 1, and the number of all rows.
 
-    Both columns must be non-null and ``tie_break`` unique, a number or a text,
-    which is ordered by its bytes.  With ``n = q*k + r`` rows the first ``r`` tiers hold ``q + 1`` rows.  Only the last
-    row of each tier but the final one is looked up; every row then compares
-    itself with these ``k - 1`` rows, so no row needs a global row number.
+    Rows are dealt to ranges of the order, sorted within each and written with
+    their place there; a row's place among all is that plus the sizes of the
+    ranges before, one count per range.  One shuffle, no window over rows.  The
+    order should end in a unique column, so that ties are dealt to ranges too;
+    nulls and texts sort as in ``orderBy``.
     """
-    if k < 2:
-        return df.withColumn(out, F.lit(1))
-
-    def ends(n: Column) -> Column:
-        size, extra = F.floor(n / k), n % k
-        return F.array(*[
-            _rank_struct(str(j), F.lit(j) * size + F.least(F.lit(j), extra)) for j in range(1, k)
-        ])
-
-    # At most k - 1 rows: the value at the end of each tier and the place of the
-    # last row among the rows that share this value.
-    borders = [
-        (int(r["label"]), r["value"], r["rank"] - r["below"])
-        for r in order_statistics(df, {"order": order}, ends).collect()
-    ]
-    if not borders:
-        return df.withColumn(out, F.lit(1))
-    kind = df.schema[order].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(
-        borders, f"tier_end int, border {kind}, place bigint"
+    placed = staged(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("__row", F.monotonically_increasing_id()), "ordered",
+    ).withColumn("__range", F.shiftright("__row", _PLACE_BITS))
+    # One row per range: at most the number of shuffle partitions.
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
+        F.sum("__n").over(Window.partitionBy()).alias(total),
     )
-    tied = df.join(F.broadcast(table), F.col(order) == F.col("border")).select(
-        "tier_end", "border", "place", F.col(tie_break).alias("tie")
+    place = F.col("__row").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + F.col("__base") + 1
+    return placed.join(F.broadcast(bases), "__range").select(
+        *df.columns, place.alias(out), F.col(total)
     )
-    if df.schema[tie_break].dataType.typeName() == "string":
-        ends_found = sorted(_text_ends(tied))
-    else:
-        # The rank inside the tied rows differs by border, so it is part of the key.
-        last = order_statistics(
-            tied, {"tie": "tie"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
-            by=["tier_end", "border", "place"],
-        )
-        # One row per border.
-        ends_found = sorted((row["border"], row["value"]) for row in last.collect())
-    tier = F.lit(1)
-    for border, tie in ends_found:
-        passed = (F.col(order) > F.lit(border)) | (
-            (F.col(order) == F.lit(border)) & (F.col(tie_break) > F.lit(tie))
-        )
-        tier = tier + F.when(passed, 1).otherwise(0)
-    return df.withColumn(out, tier)
-
 
-# Bytes of a text that one number orders exactly, also as a double.
-_TEXT_BYTES = 6
 
+def tiers(df: DataFrame, k: int, order: str, tie_break: str, out: str) -> DataFrame:
+    """Split all rows into ``k`` equal tiers by ``order``, ties by ``tie_break``.
 
-def _text_ends(tied: DataFrame) -> list[tuple]:
-    """(border, text) of the row at each border's place among its tied rows.
-
-    The text is found a few bytes at a time: those bytes are a number, whose
-    order statistic names the prefix and the place among the rows that share it.
-    At most ``k - 1`` rows reach the driver in every round.
+    Missing values come last.  ``tie_break`` should be unique; texts are ordered
+    by their bytes.  With ``n = q*k + r`` rows the first ``r`` tiers hold
+    ``q + 1`` rows; with fewer rows than tiers each row is a tier.
     """
-    left, found, at = tied, [], 0
-    while True:
-        data = F.col("tie").cast("binary")
-        part = F.rpad(F.hex(F.substring(data, at + 1, _TEXT_BYTES)), 2 * _TEXT_BYTES, "0")
-        left = left.withColumn("part", F.conv(part, 16, 10).cast("long"))
-        stats = staged(order_statistics(
-            left, {"part": "part"}, lambda n: F.array(_rank_struct("end", F.col("place"))),
-            by=["tier_end", "border", "place"],
-        ).select("tier_end", F.col("value").alias("prefix"), (F.col("place") - F.col("below")).alias("rest")), "text-ends")
-        left = staged(
-            left.join(stats, (left["tier_end"] == stats["tier_end"]) & (left["part"] == stats["prefix"]))
-            .select(left["tier_end"], "border", F.col("rest").alias("place"), "tie"), "text-ties",
-        )
-        at += _TEXT_BYTES
-        # Done where one row is left, or no row has further bytes.
-        ends = left.groupBy("tier_end", "border").agg(
-            F.count("*").alias("n"), F.max(F.octet_length("tie")).alias("longest"), F.min("tie").alias("tie")
-        ).collect()
-        done = {r["tier_end"] for r in ends if r["n"] == 1 or r["longest"] <= at}
-        found += [(r["border"], r["tie"]) for r in ends if r["tier_end"] in done]
-        if len(done) == len(ends):
-            return found
-        left = left.where(~F.col("tier_end").isin(sorted(done)))
+    sort = [F.col(order).asc_nulls_last(), F.col(tie_break).asc_nulls_last()]
+    placed = with_position(df, sort, "__place", "__total")
+    size, extra = F.floor(F.col("__total") / k), F.col("__total") % k
+    before, larger = F.col("__place") - 1, F.col("__total") % k * (F.floor(F.col("__total") / k) + 1)
+    tier = F.when(before < larger, F.floor(before / (size + 1))).otherwise(
+        extra + F.floor((before - larger) / F.greatest(size, F.lit(1)))
+    )
+    return placed.select(*df.columns, (tier + 1).cast("int").alias(out))
 
 
 def rank_groups(df: DataFrame, by: str, out: str, descending: bool = True) -> DataFrame:

@@ -10,15 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.numeric import quotient
+from tallyframe.functions.numeric import known, quotient
 from tallyframe.functions.special import f_p, normal_p, student_p
 from tallyframe.operators.joins import null_safe_join
-from tallyframe.operators.ranking import percentiles
+from tallyframe.operators.ranking import Cells, percentile_ranks, picked_percentiles
 from tallyframe.sources.staging import staged
 
 
 def _moments(group: str, value: str, key, prefix: str) -> list[Column]:
-    x = F.when(F.col(group) == F.lit(key), F.col(value).cast("double"))
+    x = F.when(F.col(group) == F.lit(key), known(value).cast("double"))
     return [
         F.count(x).alias(f"n_{prefix}"),
         F.avg(x).alias(f"mean_{prefix}"),
@@ -73,32 +73,39 @@ def proportions_ztest(
 def levene(df: DataFrame, group: str, value: str, groups: Sequence) -> DataFrame:
     """Equality of variances by absolute distances from the group medians; one row.
 
-    ``groups`` names the compared groups; their medians reach every row as one
-    scalar map with that many entries.
+    Two scans.  The first takes count, mean and squared deviations per grid cell;
+    the second reads the cells of the medians.  All other cells lie wholly on one
+    side of their group's median, so the distances of a cell's rows have its
+    squared deviations and the distance of its mean.  Cells are merged with their
+    means taken from the group's mean distance, so nothing cancels.
     """
-    rows = df.where(F.col(group).isin(list(groups)) & F.col(value).isNotNull()).select(
-        F.col(group).alias("g"), F.col(value).alias("x")
-    )
-    centres = percentiles(rows, {"centre": ("x", "0.5")}, by=["g"], interpolate=True)
-    by_group = centres.agg(
-        F.map_from_entries(F.collect_list(F.struct("g", "centre")))
-    ).scalar()
-    distances = rows.withColumn("c", by_group).select(
-        "g", F.abs(F.col("x").cast("double") - F.col("c")[F.col("g")]).alias("z")
-    )
-    # Distances from their overall mean: the statistic is the same, and large
-    # distances do not cancel in the sums of squares.
-    middle = distances.agg(F.avg("z")).scalar()
-    per_group = distances.withColumn("z", F.col("z") - middle).groupBy("g").agg(
-        F.count("*").alias("n"), F.avg("z").alias("m"), F.var_samp("z").alias("v"),
+    rows = df.where(F.col(group).isin(list(groups))).select(
+        F.col(group).alias("g"), F.col(value).cast("double").alias("x")
     )
+    also = {"m": F.avg("v"), "s": F.var_pop("v") * F.count("v")}
+    specs = {"centre": ("x", "0.5")}
+    cells = Cells(rows, {"x": "x"}, percentile_ranks(["0.5"], True), ["g"], also=also)
     # One row per named group.
+    centres = staged(picked_percentiles(cells.located(), specs, ["g"], True), "centres")
+    parts = cells.unread().select("g", "n", "m", "s").unionByName(
+        cells.values.select("g", "n", F.col("v").alias("m"), F.lit(0.0).alias("s"))
+    )
+    distances = parts.join(centres, "g").withColumn("z", F.abs(F.col("m") - F.col("centre")))
+    means = staged(
+        distances.groupBy("g").agg(
+            F.sum("n").alias("total"), quotient(F.sum(F.col("n") * F.col("z")), F.sum("n")).alias("mean")
+        ), "mean-distances",
+    )
+    per_group = distances.join(means, "g").groupBy("g").agg(
+        F.max("total").alias("n"), F.max("mean").alias("m"),
+        F.sum(F.col("s") + F.col("n") * F.pow(F.col("z") - F.col("mean"), F.lit(2))).alias("within"),
+    )
     sums = per_group.agg(
         F.sum("n").alias("n_total"),
         F.count("*").alias("k"),
         quotient(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"),
         F.collect_list(F.struct("n", "m")).alias("groups"),
-        F.sum((F.col("n") - 1) * F.col("v")).alias("within"),
+        F.sum("within").alias("within"),
     )
     between = F.aggregate(
         "groups", F.lit(0.0), lambda s, g: s + g["n"] * F.pow(g["m"] - F.col("mean"), F.lit(2))
@@ -118,11 +125,12 @@ def levene(df: DataFrame, group: str, value: str, groups: Sequence) -> DataFrame
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the value range, the last one closed on both sides.
 
-    Each group is binned over its own range.  Empty bins are listed with zero.
+    Missing values and not-a-number do not count.  Each group is binned over its
+    own range.  Empty bins are listed with zero.
     ``density`` is the count over total and width, so that the area is one.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    rows = df.where(known(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
     ranges = staged(
         rows.groupBy(*by).agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count("*").alias("n"))
         .where(F.col("n") > 0)
@@ -165,23 +173,67 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     )
 
 
+REACH = 1.5  # interquartile ranges from the box to the farthest whisker
+
+
+def _fence_cells(ranked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Marks the cells that a fence can cut, from the edges of the quartiles' cells."""
+
+    def holds(q: str) -> Column:
+        return F.exists("want", lambda r: r["label"].startswith(f"{q}:"))
+
+    edges = ranked.groupBy(*key).agg(*[
+        pick(F.when(holds(q), F.col(edge))).alias(f"{name}_{edge}")
+        for name, q in (("q25", "0.25"), ("q75", "0.75"))
+        for pick, edge in ((F.min, "low"), (F.max, "high"))
+    ])
+    widest, narrowest = F.col("q75_high") - F.col("q25_low"), F.col("q75_low") - F.col("q25_high")
+    slack = 1e-9 * (F.abs("q25_low") + F.abs("q75_high"))  # for the rounding of the bounds
+    bounds = edges.select(
+        *key,
+        (F.col("q25_low") - REACH * widest - slack).alias("under_from"),
+        (F.col("q25_high") - REACH * narrowest + slack).alias("under_to"),
+        (F.col("q75_low") + REACH * narrowest - slack).alias("over_from"),
+        (F.col("q75_high") + REACH * widest + slack).alias("over_to"),
+    )
+
+    def cut(start: str, end: str) -> Column:
+        return (F.col("high") >= F.col(start)) & (F.col("low") <= F.col(end))
+
+    return null_safe_join(ranked, staged(bounds, "fence-bounds"), key).withColumn(
+        "more", cut("under_from", "under_to") | cut("over_from", "over_to")
+    )
+
+
 def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles, whiskers at 1.5 interquartile ranges and the rows beyond them."""
+    """Quartiles, whiskers at 1.5 interquartile ranges and the rows beyond them.
+
+    Two scans: counts per grid cell, then the values of the cells that hold a
+    quartile or that a fence can cut.  Other cells lie inside or beyond as a whole.
+    """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    rows = df.select(*by, F.col(value).cast("double").alias("x"))
     names = {"q25": "0.25", "q50": "0.5", "q75": "0.75"}
-    quartiles = percentiles(rows, {o: ("x", p) for o, p in names.items()}, by, interpolate=True)
+    cells = Cells(
+        rows, {"x": "x"}, percentile_ranks(list(names.values()), True), by, also={}, more=_fence_cells
+    )
+    quartiles = staged(
+        picked_percentiles(cells.located(), {o: ("x", p) for o, p in names.items()}, by, True), "quartiles"
+    )
+    parts = cells.unread().select(*by, "n", "low", "high").unionByName(
+        cells.values.select(*by, "n", F.col("v").alias("low"), F.col("v").alias("high"))
+    )
     if by:
-        placed = null_safe_join(rows, staged(quartiles, "quartiles"), by)
+        placed = null_safe_join(parts, quartiles, by)
     else:
         row = quartiles.select(F.struct(*names)).scalar()
-        placed = rows.withColumns({o: row[o] for o in names})
-    reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = (F.col("x") >= F.col("q25") - reach) & (F.col("x") <= F.col("q75") + reach)
+        placed = parts.withColumns({o: row[o] for o in names})
+    reach = (F.col("q75") - F.col("q25")) * REACH
+    inside = (F.col("low") >= F.col("q25") - reach) & (F.col("high") <= F.col("q75") + reach)
     return placed.groupBy(*by).agg(
-        F.count("*").alias("count"),
+        F.sum("n").alias("count"),
         *[F.max(o).alias(o) for o in names],
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.min(F.when(inside, F.col("low"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("high"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
     )

@@ -7,16 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.numeric import exact, half_up, mean, percent, quotient, total
+from tallyframe.functions.numeric import half_up, mean, percent, quotient, total
 from tallyframe.functions.text import labelled
-from tallyframe.operators.joins import left_join_filtered, lookup
+from tallyframe.operators.joins import left_join_filtered, lookup, null_safe_join
 from tallyframe.operators.metrics import entity_span, share_of_total
 from tallyframe.operators.profile import (
     fk_check, key_check, null_breakdown, preview, profile_columns, rows_with_nulls,
 )
 from tallyframe.operators.ranking import percentile_disc, tiers
 from tallyframe.sources.schemas import TableKeys
-from tallyframe.sources.staging import staged
 
 # Output labels.
 PAYER_LABEL = "Платящие игроки"
@@ -139,24 +138,23 @@ def zero_purchases(events: DataFrame) -> DataFrame:
     ).withColumn("share_zero_cost", quotient("count_zero_cost", "total_event"))
 
 
-def _purchases_per_user(events: DataFrame) -> DataFrame:
-    """Paid events, different transactions and amount per user."""
-    per_transaction = events.where(F.col("amount") > 0).groupBy("id", "transaction_id").agg(
-        F.count("transaction_id").alias("n"), F.sum(exact("amount")).alias("paid")
-    )
-    return per_transaction.groupBy("id").agg(
-        F.sum("n").alias("n_event"), F.count("transaction_id").alias("n_transaction"),
-        F.sum("paid").alias("paid"),
+def _purchases(events: DataFrame) -> DataFrame:
+    """Rows and amount per user and transaction, paid events apart from free ones."""
+    return events.groupBy("id", "transaction_id", (F.col("amount") > 0).alias("is_paid")).agg(
+        F.count("transaction_id").alias("n"), total("amount").alias("paid")
     )
 
 
 def payer_vs_nonpayer(users: DataFrame, events: DataFrame) -> DataFrame:
     """Buyers, average purchases and average spending by payer status."""
-    buyers = users.select("id", "payer").join(_purchases_per_user(events), "id")
+    per_user = _purchases(events).where("is_paid").groupBy("id").agg(
+        F.sum("n").alias("n_event"), total("paid").alias("paid")
+    )
+    buyers = users.select("id", "payer").join(per_user, "id")
     return buyers.groupBy("payer").agg(
         F.count("*").alias("count_pay_user"),
         half_up(quotient(F.sum("n_event"), F.count("*")), 0).alias("avg_count_event"),
-        half_up(quotient(F.sum("paid"), F.count("*"))).alias("avg_amount_user"),
+        half_up(quotient(total("paid"), F.count("*"))).alias("avg_amount_user"),
     ).withColumn("payer", labelled("payer", {1: PAYER_LABEL}, NON_PAYER_LABEL))
 
 
@@ -188,16 +186,23 @@ def activity_by_dim(users: DataFrame, events: DataFrame, race: DataFrame) -> Dat
     is missing where a race has no paying buyer.
     """
     joined = left_join_filtered(
-        users.select("id", "race_id", "payer"), _purchases_per_user(events), "id", F.lit(True)
+        users.select("id", "race_id", "payer"), _purchases(events), "id", F.col("is_paid")
+    )
+    per_user = joined.groupBy("race_id", "id", "payer").agg(
+        F.count("is_paid").alias("n"), total("paid").alias("paid")
     )
-    buyer = F.col("n_event").isNotNull()
-    per_race = joined.groupBy("race_id").agg(
+    buyer = F.col("n") > 0
+    people = per_user.groupBy("race_id").agg(
         F.count("id").alias("count_total_user"),
         F.count_if(buyer).alias("count_buy_user"),
         F.count_if(buyer & (F.col("payer") == 1)).alias("n_payer"),
-        F.sum("n_transaction").alias("n_event"),
-        F.sum("paid").alias("paid"),
+        total("paid").alias("paid"),
     )
+    # An id that two users share is one transaction of their race.
+    transactions = joined.where("transaction_id is not null").select(
+        "race_id", "transaction_id"
+    ).distinct().groupBy("race_id").agg(F.count("*").alias("n_event"))
+    per_race = null_safe_join(people, transactions, ["race_id"], "left")
     payers = F.when(F.col("race_id").isNotNull() & (F.col("n_payer") > 0), F.col("n_payer"))
     return (
         lookup(per_race, race, "race_id")
@@ -236,13 +241,12 @@ def purchase_frequency_tiers(
 ) -> DataFrame:
     """Frequent buyers in equal tiers by mean days between purchases.
 
-    The per-buyer table is written once, since the tier borders are looked up in
-    several passes over it.  A single purchase has no gap and cannot be ranked, so
-    ``min_events`` must be at least 2.
+    The per-buyer table is written once, in the order of the gaps.  A single
+    purchase has no gap and cannot be ranked, so ``min_events`` must be at least 2.
     """
     if min_events < 2:
         raise ValueError("min_events must be at least 2: one purchase has no gap")
-    gaps = staged(purchase_gaps(users, events, min_events), "purchase-gaps")
+    gaps = purchase_gaps(users, events, min_events)
     ranked = tiers(gaps, len(labels), "avg_duration_day", "id", "tier")
     return (
         ranked.groupBy("tier").agg(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.functions.numeric import exact
+from tallyframe.functions.numeric import total
 from tallyframe.functions.temporal import month_start
 from tallyframe.functions.text import numeric_details
 from tallyframe.plans.library import with_day
@@ -76,7 +76,7 @@ def quoted_files(rows: DataFrame, schema_name: str) -> DataFrame:
 
 def user_city_hours(audition: DataFrame, geo: DataFrame) -> DataFrame:
     """Hours per user and city: the prepared table the two-city comparison starts from."""
-    per_geo = audition.groupBy("usage_geo_id", "puid").agg(F.sum(exact("hours")).alias("hours"))
+    per_geo = audition.groupBy("usage_geo_id", "puid").agg(total("hours").alias("hours"))
     return per_geo.join(geo, "usage_geo_id").select(
         F.col("usage_geo_id_name").alias("city"), "puid", "hours"
     )
@@ -88,7 +88,7 @@ def city_handoff(audition: DataFrame, geo: DataFrame) -> DataFrame:
     path = _fresh_path(spark, "city-hours")
     write_dataset(user_city_hours(audition, geo), path, ["city"])
     return read_dataset(spark, path).groupBy("city").agg(
-        F.count("*").alias("users"), F.sum("hours").cast("double").alias("hours")
+        F.count("*").alias("users"), total("hours").alias("hours")
     )
 
 

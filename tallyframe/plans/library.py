@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.functions.numeric import exact, half_up, quotient
+from tallyframe.functions.numeric import half_up, quotient, total
 from tallyframe.functions.temporal import month_start, to_day
 from tallyframe.operators.joins import lookup
 from tallyframe.operators.metrics import retention
@@ -96,10 +96,10 @@ def revenue_per_hour(
     """
     dated = with_day(audition).where(F.month("day").between(first_month, last_month))
     per_user = dated.groupBy(month_start("day").alias("month_b"), "puid").agg(
-        F.sum(exact("hours")).alias("user_hours")
+        total("hours").alias("user_hours")
     )
     return per_user.groupBy("month_b").agg(
         F.count("puid").alias("mau"),
-        half_up(F.sum("user_hours")).alias("hours"),
-        half_up(quotient(F.count("puid") * price, F.sum("user_hours"))).alias("avg_hour_rev"),
+        half_up(total("user_hours")).alias("hours"),
+        half_up(quotient(F.count("puid") * price, total("user_hours"))).alias("avg_hour_rev"),
     )

@@ -1,7 +1,9 @@
 """Small fixtures for the cases the large tables do not hold."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -293,3 +295,86 @@ def test_text_that_is_no_date_is_counted(spark):
 def test_index_column_is_found_and_dropped(spark):
     df = spark.range(5).select("id", (F.col("id") * 2).alias("v"))
     assert profile.drop_index_column(df, "id").columns == ["v"]
+
+
+def test_a_transaction_of_two_users_counts_once_per_race(spark):
+    users = spark.createDataFrame(
+        [(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, None, 0)], "id long, race_id long, payer long")
+    race = spark.createDataFrame([(1, "elf"), (2, "orc")], "race_id long, race string")
+    events = spark.createDataFrame(
+        [(7, 1, 10.0), (7, 2, 5.0), (8, 3, 4.0), (7, 3, 2.0), (9, 4, 1.0), (9, 4, 0.0), (5, 2, 0.0), (6, 99, 3.0)],
+        "transaction_id long, id long, amount double")
+    got = {r["race"]: r for r in game.activity_by_dim(users, events, race).collect()}
+    assert (got["elf"]["avg_event"], got["elf"]["avg_amount_event"], got["elf"]["avg_amount_user"]) == (1, 15.0, 7.5)
+    assert (got["elf"]["count_total_user"], got["elf"]["count_buy_user"]) == (2, 2)
+    assert (got["orc"]["avg_event"], got["orc"]["avg_amount_event"]) == (2, 3.0)
+    assert (got[None]["avg_event"], got[None]["avg_amount_event"]) == (1, 1.0)
+
+
+def test_amounts_beyond_the_decimals_are_summed_as_doubles(spark):
+    users = spark.createDataFrame([(1, 1, 0)], "id long, race_id long, payer long")
+    race = spark.createDataFrame([(1, "elf")], "race_id long, race string")
+    events = spark.createDataFrame([(7, 1, 12345678901234567890.12)], "transaction_id long, id long, amount double")
+    row = game.activity_by_dim(users, events, race).first()
+    assert row["avg_amount_user"] == pytest.approx(12345678901234567890.12)
+    assert game.payer_vs_nonpayer(users, events).first()["avg_amount_user"] == row["avg_amount_user"]
+
+
+def _skewed(spark):
+    rng = np.random.default_rng(8)
+    values = [("a", float(v)) for v in rng.lognormal(3, 2, 400)] + [("b", float(v)) for v in rng.normal(-5, 9, 300)]
+    values += [("a", 20.0)] * 350 + [("b", None), ("a", math.nan), ("b", math.nan), (None, 3.0), (None, 4.0)]
+    return values, spark.createDataFrame(values, "k string, v double")
+
+
+def _known(values, key):
+    return np.array([v for k, v in values if k == key and v is not None and not math.isnan(v)])
+
+
+def test_box_stats_like_rows_compared_one_by_one(spark):
+    values, df = _skewed(spark)
+    got = {r["k"]: r for r in stats.box_stats(df, "v", ["k"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for key, row in got.items():
+        x = _known(values, key)
+        q25, q50, q75 = np.quantile(x, [0.25, 0.5, 0.75])
+        low, high = q25 - 1.5 * (q75 - q25), q75 + 1.5 * (q75 - q25)
+        inside = x[(x >= low) & (x <= high)]
+        assert (row["count"], row["outliers"]) == (len(x), len(x) - len(inside))
+        assert (row["whisker_low"], row["whisker_high"]) == (inside.min(), inside.max())
+        assert [row["q25"], row["q50"], row["q75"]] == pytest.approx([q25, q50, q75], rel=1e-12)
+
+
+def test_levene_like_rows_measured_one_by_one(spark):
+    values, df = _skewed(spark)
+    row = stats.levene(df, "k", "v", ["a", "b"]).first()
+    groups = [np.abs(x - np.median(x)) for x in (_known(values, "a"), _known(values, "b"))]
+    everything = np.concatenate(groups)
+    between = sum(len(z) * (z.mean() - everything.mean()) ** 2 for z in groups)
+    within = sum(((z - z.mean()) ** 2).sum() for z in groups)
+    assert row["n_total"] == len(everything)
+    assert row["f_stat"] == pytest.approx(between / (within / (len(everything) - 2)), rel=1e-9)
+
+
+def test_welch_and_histogram_ignore_not_a_number(spark):
+    values, df = _skewed(spark)
+    clean = df.where("v is not null and not isnan(v)")
+    assert stats.welch_ttest(df, "k", "v", "a", "b").first() == stats.welch_ttest(clean, "k", "v", "a", "b").first()
+    few = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (math.nan,), (None,)], "v double")
+    got = stats.histogram(few, "v", 4).orderBy("bin").collect()
+    assert [r["count"] for r in got] == [1, 1, 0, 1] and (got[0]["left_edge"], got[3]["right_edge"]) == (1, 5)
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: stats.box_stats(df, "v", ["k"]), lambda df: stats.levene(df, "k", "v", ["a", "b"])])
+def test_two_scans_are_enough(spark, tmp_path, make):
+    _, df = _skewed(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    make(df.coalesce(1).mapInArrow(count, df.schema)).collect()
+    assert seen.value == 2 * df.count()

@@ -144,3 +144,39 @@ def test_cells_are_written_and_read_back(spark):
     result = ranking.percentiles(df, {"q": ("v", "0.5")}, ["g"])
     assert "InMemoryTableScan" not in result._jdf.queryExecution().executedPlan().toString()
     assert any("/wanted-cells-" in file for file in result.inputFiles())
+
+
+def _with_hot_value(spark, kind):
+    # A third of all rows share one value, some have none.
+    rows = [(f"{'k' * (i % 4)}{i}" if kind == "text" else i * 7 % 997, 5.0 if i % 3 == 0 else float(i % 50) or None)
+            for i in range(997)]
+    return rows, spark.createDataFrame(rows, f"id {'string' if kind == 'text' else 'long'}, v double")
+
+
+@pytest.mark.parametrize("kind", ["text", "number"])
+@pytest.mark.parametrize("k", [1, 3, 10, 2000])
+def test_tiers_like_ntile(spark, kind, k):
+    rows, df = _with_hot_value(spark, kind)
+    got = {r["id"]: r["t"] for r in ranking.tiers(df, k, "v", "id", "t").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[0].encode() if kind == "text" else r[0]))
+    size, extra = divmod(len(rows), k)
+    expected = {}
+    for place, (key, _) in enumerate(order):
+        big = extra * (size + 1)
+        expected[key] = 1 + (place // (size + 1) if place < big else extra + (place - big) // size)
+    assert got == expected
+
+
+def test_positions_need_no_window_over_rows(spark):
+    _, df = _with_hot_value(spark, "number")
+    placed = ranking.with_position(df, [F.col("v").asc_nulls_last(), F.col("id")], "place", "total")
+    assert sorted(r["place"] for r in placed.collect()) == list(range(1, 998))
+    assert {r["total"] for r in placed.collect()} == {997}
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    # The only windows stand above the count per range.
+    assert plan.rindex("Window [") < plan.index("Aggregate [__range")
+
+
+def test_positions_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id long, v double")
+    assert ranking.tiers(empty, 3, "v", "id", "t").collect() == []
