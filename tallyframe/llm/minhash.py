@@ -69,11 +69,14 @@ def multipliers(count: int) -> np.ndarray:
 
 
 def signature(values: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The smallest of the set under each of several multiplicative hashes, upper 32 bits."""
+    """The smallest of the set under each of several multiplicative hashes, upper 16 bits.
+
+    Two values agree by chance once in 65,536 times, which can only keep a pair.
+    """
     out = np.full(len(by), np.uint64(2**64 - 1))
     for at in range(0, len(values), 512):
         np.minimum(out, (values[at:at + 512, None] * by).min(axis=0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(48)).astype(np.uint16)
 
 
 def least_agreements(threshold: float, miss: float, total: int, batch: int) -> list[tuple[int, int]]:
@@ -116,7 +119,7 @@ def survivors(a: np.ndarray, b: np.ndarray, stops: list[tuple[int, int]]) -> np.
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
 def shingle_table(docs: DataFrame, text: str, key: str, size: int, values: int) -> DataFrame:
@@ -291,7 +294,7 @@ def rest_links(
         .select("bucket", "id", "component", (F.col("component") != F.col("main")).alias("probe")),
         "open-buckets",
     )
-    sizes = sets.select("id", (F.octet_length("set") + 4 * stops[-1][0]).alias("bytes"))
+    sizes = sets.select("id", (F.octet_length("set") + 2 * stops[-1][0]).alias("bytes"))
     dealt = block_pairs(members, sizes, block_bytes)
     return (
         dealt.join(signatures, "id").join(sets, "id").groupBy("bucket", "low", "high")
