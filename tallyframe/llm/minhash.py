@@ -4,9 +4,10 @@ A text's set holds the hashes of its distinct word shingles; texts with equal
 sets are one class and only its smallest id goes on.  Classes that agree on all
 values of a band of the signature share a bucket.
 
-1. In every bucket one member is the pivot, drawn by a hash, and every other
-   member is a candidate with it: as many pairs as memberships, whatever a
-   bucket's size.
+1. Of buckets with the same members one goes on.  In each, one member is the
+   pivot, drawn by a hash, and every other member is a candidate with it: at most
+   as many pairs as memberships, whatever a bucket's size.  There are only a few
+   ways to draw, so that members who share many buckets mostly meet one pivot.
 2. Candidates are compared by batches of signature values.  With a uniform prior
    the posterior of the similarity after ``m`` of ``n`` agreements is a Beta
    distribution; a pair is given up once the probability that it reaches the
@@ -34,6 +35,7 @@ from tallyframe.sources.staging import staged
 BANDS, ROWS = 25, 5
 MISS = 1e-6
 BATCH = 25
+DRAWS = 4
 BLOCK_BYTES = 16 << 20
 SEED = 20_011
 
@@ -322,10 +324,15 @@ def near_duplicates(
     )
     signatures = classes.select("id", "signature")
     all_members = memberships(classes, bands, rows)
-    shared = all_members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(F.struct(F.xxhash64("bucket", "id").alias("draw"), "id")).getField("id").alias("pivot"),
+    draw = F.struct(F.xxhash64(F.pmod("bucket", F.lit(DRAWS)), "id").alias("draw"), "id")
+    several = all_members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.min(draw).getField("id").alias("pivot"),
+        F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("mixed"),
     ).where("members > 1")
+    # Equal members, told by 128 bits, have nothing to add in a second bucket.
+    shared = several.groupBy("members", "mix", "mixed").agg(
+        F.min(F.struct("bucket", "pivot")).alias("one")
+    ).select("members", "one.bucket", "one.pivot")
     buckets = staged(all_members.join(shared, "bucket"), "buckets")
     stars = buckets.where("id != pivot").select(
         "bucket", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
