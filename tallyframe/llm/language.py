@@ -55,6 +55,7 @@ class Network:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         self.languages, self.hidden = languages, hidden
+        self.usual: dict[str, float] = {}
         draw = np.random.default_rng(seed)
         self.weights = {}
         for way in ("ahead", "back"):
@@ -237,13 +238,22 @@ def sample(
 def train(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     per_language: int = SAMPLE_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES, steps: int = STEPS,
-    long_texts: bool = False,
+    long_texts: bool = False, kept_out: int = 0,
 ) -> Network | None:
     """A network fitted on a bounded sample of the labelled rows; none without such rows.
 
-    With ``long_texts`` every language that labels a letter is learned.
+    With ``long_texts`` every language that labels a letter is learned.  With
+    ``kept_out`` every so manieth text of a language's sample is not trained on:
+    ``usual`` is the median score of these texts for their own language (of the
+    whole sample where it is smaller than twice that number).
     """
     texts = sample(docs, text, lang, key, per_language, most_bytes, long_texts)
+    judged = {}
+    if kept_out:
+        for language, some in texts.items():
+            judged[language] = some[::kept_out] if len(some) >= 2 * kept_out else some
+            if len(some) >= 2 * kept_out:
+                texts[language] = [t for i, t in enumerate(some) if i % kept_out]
     words, most, draw = {}, max(20_000, SAMPLE_WORDS // max(1, len(texts))), np.random.default_rng(5)
     for language, some in texts.items():
         parts = [w[:LONGEST] for t in some for w in words_of(t)]
@@ -255,6 +265,9 @@ def train(
         return None
     network = Network(sorted(words))
     network.train([words[k] for k in network.languages], steps)
+    identifier = Identifier(network)
+    for place, language in enumerate(network.languages if judged else ()):
+        network.usual[language] = float(np.median(identifier.pooled(judged[language])[:, place]))
     return network
 
 

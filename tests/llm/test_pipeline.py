@@ -35,6 +35,21 @@ def test_language_keeps_documents_with_letters(steps):
     assert {d for d, t in before.items() if t and re.search(r"[^\W\d_]", t)} == set(after)
 
 
+def test_language_keeps_clean_texts_of_many_languages(spark):
+    """Twelve languages share the probability, so that no score is high; all texts stay."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for number in range(12):
+        letters = draw.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:11]
+        for i in range(20):
+            words = ["".join(draw.choice(letters, 5)) for _ in range(40)]
+            rows.append((12 * i + number, " ".join(words), f"l{number}", "s", 239))
+    rows += [(900, "123 456", None, "s", 7), (901, None, "l1", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.language_id(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(240))
+
+
 def test_near_dedup(steps):
     before = texts(steps["language_id"])
     sets = {d: shingle_set(t, 5) for d, t in before.items()}
