@@ -14,8 +14,8 @@ from tallyframe.llm import decontaminate, language, minhash, packing, pii
 from tallyframe.sources.files import load
 from tallyframe.sources.staging import staged
 
-# Four languages share a text's probability; one that none reaches is rejected.
-LEAST_SCORE = 0.3
+# A text stays with this share of the score that texts of its language usually get.
+LEAST_SHARE, KEPT_OUT = 1 / 3, 5
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 # At 0.8 a pair shares no band with probability (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
@@ -33,15 +33,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined.
 
     Texts that are null or without letters go, and those whose best language has
-    a pooled probability below ``LEAST_SCORE``.  If no document names a language
-    there is nothing to learn from and all documents with letters stay.
+    a pooled probability below ``LEAST_SHARE`` of what is usual for it, measured on
+    labelled texts that the network was not trained on; so the limit does not
+    depend on the number of languages.  If no document names a language there is
+    nothing to learn from and all documents with letters stay.
     """
-    network = language.train(docs, long_texts=True)
+    network = language.train(docs, long_texts=True, kept_out=KEPT_OUT)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = language.identify(_kept(docs), network, keep=("kept",))
+    # One entry per learned language, whose number the training sample bounds.
+    usual = F.create_map(*[F.lit(v) for pair in network.usual.items() for v in pair])
     return judged.where(
-        (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+        (F.col("lang_pred") != language.UNDETERMINED)
+        & (F.col("score") >= LEAST_SHARE * usual[F.col("lang_pred")])
     ).select("kept.*")
 
 
