@@ -6,8 +6,10 @@ deals all vectors to leaves, and large leaves to tiles of bounded size.  Two
 leaves whose boxes lie further apart than the threshold allows are never
 compared.  A pair of tiles is multiplied a few dimensions at a time; a pair of
 vectors is given up as soon as its partial product and the product of the norms
-of what is left cannot reach the threshold.  Any rotation and any tree give the
-same links; they only decide how early a pair is given up.
+of what is left cannot reach the threshold.  Products of rotated vectors carry
+rounding, so a pair within ``TIE`` of the threshold is decided by its stored
+components.  Any rotation and any tree give the same links; they only decide how
+early a pair is given up.
 
 Equal vectors are merged before and counted, and a tile pair returns a count per
 vector and a spanning forest of its links, so a group of copies never becomes a
@@ -32,6 +34,7 @@ FIRST_STEP = 8
 ROWS_AT_ONCE = 512
 PAIRS_AT_ONCE = 1 << 16
 SLACK = 1e-9  # bounds give way to rounding; the decision itself has no slack
+TIE = 1e-12  # so near the threshold the stored components decide
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,7 +89,22 @@ class Tree:
         return out
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that their squares neither overflow nor vanish."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of stored vectors, row by row."""
+    a, b = scaled(a.astype(np.float64)), scaled(b.astype(np.float64))
+    squares = np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)
+    return np.einsum("ij,ij->i", a, b) / np.sqrt(squares)
+
+
+def linked_pairs(
+    a: np.ndarray, b: np.ndarray, least: float, same: bool, stored_a: np.ndarray, stored_b: np.ndarray,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with product of at least ``least``; with ``same``, only i < j."""
     width = a.shape[1]
     steps = []
@@ -120,6 +138,8 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iter
                 near = p + rests[k][0][x] * rests[k][1][y] >= least - SLACK
                 x, y, p = x[near], y[near], p[near]
             near = p >= least
+            tied = np.flatnonzero(np.abs(p - least) < TIE)
+            near[tied] = cosines(stored_a[x[tied]], stored_b[y[tied]]) >= least
             yield x[near], y[near]
 
 
@@ -135,16 +155,16 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def compare_tiles(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
     """Counts and forest of one tile pair, as (id, n, to)."""
     same = left["tile"].iloc[0] == right["tile"].iloc[0]
-    (ids_a, copies_a, a), (ids_b, copies_b, b) = (
+    (ids_a, copies_a, a, stored_a), (ids_b, copies_b, b, stored_b) = (
         (np.frombuffer(t["ids"].iloc[0], np.int64), np.frombuffer(t["copies"].iloc[0], np.int64),
-         np.frombuffer(t["vectors"].iloc[0]).reshape(int(t["n"].iloc[0]), -1))
+         np.frombuffer(t["vectors"].iloc[0]).reshape(int(t["n"].iloc[0]), -1), stored_of(t))
         for t in (left, right)
     )
     n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     first = 0 if same else len(a)
     ids = ids_a if same else np.concatenate([ids_a, ids_b])
     label = np.arange(len(ids))
-    for x, y in linked_pairs(a, b, least, same):
+    for x, y in linked_pairs(a, b, least, same, stored_a, stored_b):
         if len(x):
             n_a += np.bincount(x, copies_b[y], len(a)).astype(np.int64)
             n_b += np.bincount(y, copies_a[x], len(b)).astype(np.int64)
@@ -154,13 +174,21 @@ def compare_tiles(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.D
     return pd.DataFrame({"id": ids[found], "n": n[found], "to": ids[label[found]]})
 
 
+def stored_of(tile: pd.DataFrame) -> np.ndarray:
+    kind = np.float32 if tile["single"].iloc[0] else np.float64
+    return np.frombuffer(tile["stored"].iloc[0], kind).reshape(int(tile["n"].iloc[0]), -1)
+
+
 def pack_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.stack(rows["unit"].to_numpy())
+    vectors, stored = np.stack(rows["unit"].to_numpy()), np.stack(rows["embedding"].to_numpy())
+    with np.errstate(over="ignore"):
+        single = bool((stored.astype(np.float32) == stored).all())
     return pd.DataFrame({
         "leaf": [key[0]], "part": [key[1]], "tile": [key[0] * (1 << 32) + key[1]], "n": [len(rows)],
         "ids": [rows["id"].to_numpy(np.int64).tobytes()],
         "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
         "vectors": [np.ascontiguousarray(vectors, np.float64).tobytes()],
+        "stored": [stored.astype(np.float32 if single else np.float64).tobytes()], "single": [single],
         "low": [vectors.min(axis=0)], "high": [vectors.max(axis=0)],
     })
 
@@ -181,11 +209,11 @@ def _links_of(vectors: DataFrame, least: float, tile: int) -> DataFrame:
             units = unit(np.stack([np.asarray(v, np.float64) for v in part["embedding"]])) @ axes
             yield pd.DataFrame({
                 "id": part["id"], "copies": part["copies"], "leaf": tree.leaves_of(units),
-                "unit": list(units),
+                "unit": list(units), "embedding": part["embedding"],
             })
 
     turned = staged(
-        vectors.mapInPandas(turn, "id long, copies long, leaf long, unit array<double>"), "units"
+        vectors.mapInPandas(turn, "id long, copies long, leaf long, unit array<double>, embedding array<double>"), "units"
     )
     sizes = turned.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     tiles = staged(
@@ -194,7 +222,7 @@ def _links_of(vectors: DataFrame, least: float, tile: int) -> DataFrame:
         .groupBy("leaf", "part").applyInPandas(
             pack_tile,
             "leaf long, part long, tile long, n long, ids binary, copies binary, vectors binary, "
-            "low array<double>, high array<double>",
+            "stored binary, single boolean, low array<double>, high array<double>",
         ), "tiles",
     )
     boxes = [
@@ -219,10 +247,11 @@ def _links_of(vectors: DataFrame, least: float, tile: int) -> DataFrame:
         .join(names.toDF("leaf_b", "part_b", "b"), "leaf_b")
         .where("leaf_a != leaf_b or part_a <= part_b").select("a", "b"), "tile-pairs",
     )
+    content = ["n", "ids", "copies", "vectors", "stored", "single"]
     left, right = (
-        pairs.join(tiles.select(F.col("tile").alias(side), "n", "ids", "copies", "vectors"), side)
-        .select(F.struct("a", "b").alias("pair"), F.col(side).alias("tile"), "n", "ids", "copies", "vectors")
-        .toDF(*[f"{side}_{c}" for c in ("pair", "tile", "n", "ids", "copies", "vectors")])
+        pairs.join(tiles.select(F.col("tile").alias(side), *content), side)
+        .select(F.struct("a", "b").alias("pair"), F.col(side).alias("tile"), *content)
+        .toDF(*[f"{side}_{c}" for c in ("pair", "tile", *content)])
         for side in ("a", "b")
     )
 

@@ -203,6 +203,28 @@ def test_vectors_over_many_tiles(spark, data_dir):
     assert assert_vectors(ours, embeddings.toPandas(), 0.3)
 
 
+def test_vectors_exactly_at_the_threshold(spark):
+    """Whole-number pairs of cosine exactly 0.9, among others; lengths do not matter."""
+    rng = np.random.default_rng(9)
+    bases = [(10, 0, 0, 0, 0, 0), (9, 3, 3, 1, 0, 0), (9, 0, 0, 1, 3, 3), (0, 0, 10, 0, 0, 0), (1, 1, 9, 0, 1, 4)]
+    rows = [
+        (i, [float(v) * [1.0, 4.0, 0.5][i % 3] for v in rng.permutation(bases[i % 5])])
+        for i in range(300)
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = np.array([r[1] for r in rows])
+    squares = (whole**2).sum(axis=1)
+    near = whole @ whole.T / np.sqrt(np.outer(squares, squares)) >= 0.9
+    np.fill_diagonal(near, False)
+    exact = np.isclose(whole @ whole.T / np.sqrt(np.outer(squares, squares)), 0.9, atol=1e-13)
+    assert exact.sum() > 100
+    expected = components_of(range(300), np.argwhere(near).tolist())
+    for tile in (4096, 32):
+        ours = vectors.near_vectors(table, tile=tile).toPandas().set_index("vec_id")
+        assert [ours.n_links[i] for i in range(300)] == near.sum(axis=1).tolist()
+        assert ours.component_id.to_dict() == expected
+
+
 def test_op8_sharding(spark, data_dir, documents):
     ours = run(spark, data_dir, "op8_sharding").set_index("doc_id")
     assert len(ours) == len(documents) and (ours.law == "rows").all()
