@@ -6,8 +6,8 @@ values of a band of the signature share a bucket.
 
 1. Of buckets with the same members one goes on.  In each, one member is the
    pivot, drawn by a hash, and every other member is a candidate with it: at most
-   as many pairs as memberships, whatever a bucket's size.  There are only a few
-   ways to draw, so that members who share many buckets mostly meet one pivot.
+   as many pairs as memberships, whatever a bucket's size.  Buckets draw apart, so
+   that a member who misses the threshold to one pivot meets others.
 2. Candidates are compared by batches of signature values.  With a uniform prior
    the posterior of the similarity after ``m`` of ``n`` agreements is a Beta
    distribution; a pair is given up once the probability that it reaches the
@@ -35,7 +35,6 @@ from tallyframe.sources.staging import staged
 BANDS, ROWS = 25, 5
 MISS = 1e-6
 BATCH = 25
-DRAWS = 4
 BLOCK_BYTES = 16 << 20
 SEED = 20_011
 
@@ -324,7 +323,7 @@ def near_duplicates(
     )
     signatures = classes.select("id", "signature")
     all_members = memberships(classes, bands, rows)
-    draw = F.struct(F.xxhash64(F.pmod("bucket", F.lit(DRAWS)), "id").alias("draw"), "id")
+    draw = F.struct(F.xxhash64("bucket", "id").alias("draw"), "id")
     several = all_members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.min(draw).getField("id").alias("pivot"),
         F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("mixed"),
