@@ -70,14 +70,15 @@ def multipliers(count: int) -> np.ndarray:
 
 
 def signature(values: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The smallest of the set under each of several multiplicative hashes, upper 16 bits.
+    """The smallest of the set under each of several multiplicative hashes, 16 of its middle bits.
 
-    Two values agree by chance once in 65,536 times, which can only keep a pair.
+    The upper bits of a minimum are nearly all zero for large sets; the middle ones
+    agree by chance once in 65,536 times, which can only keep a pair.
     """
     out = np.full(len(by), np.uint64(2**64 - 1))
     for at in range(0, len(values), 512):
         np.minimum(out, (values[at:at + 512, None] * by).min(axis=0), out=out)
-    return (out >> np.uint64(48)).astype(np.uint16)
+    return ((out >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def least_agreements(threshold: float, miss: float, total: int, batch: int) -> list[tuple[int, int]]:
