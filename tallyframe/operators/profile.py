@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.functions.numeric import known, mean, quotient
 from tallyframe.operators.joins import null_safe_join
 from tallyframe.operators.ranking import percentiles
+from tallyframe.operators.sieve import key_field, may_match
 
 
 def with_total_count(df: DataFrame, out: str = "row_count") -> DataFrame:
@@ -146,16 +147,38 @@ def drop_index_column(df: DataFrame, column: str) -> DataFrame:
     return df.drop(column)
 
 
-def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Rows, and rows beyond the first of each equal group; missing values are equal."""
-    columns = list(subset or df.columns)
-    return (
-        df.groupBy(*columns).agg(F.count("*").alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-        )
+def row_digest(columns: Sequence[str]) -> list[Column]:
+    """128 bits of a row; gaps count too, since the hash passes over them."""
+    gaps = [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(seed), *columns, *gaps) for seed in (1, 2)]
+
+
+def duplicate_count(
+    df: DataFrame, subset: Sequence[str] | None = None, digest: Sequence[Column] | None = None
+) -> DataFrame:
+    """Rows, and rows beyond the first of each equal group; missing values are equal.
+
+    Whole rows are told apart by their digests first, so only digests are shuffled
+    for rows that occur once.  Rows whose digest occurs again are compared as
+    they are, so a clash of digests changes no count.
+    """
+    if subset:
+        counts = df.groupBy(*subset).agg(F.count("*").alias("__n"))
+        return counts.agg(_total("__n").alias("row_count"), _total(F.col("__n") - 1).alias("duplicates"))
+    digest = list(digest or row_digest(df.columns))
+    names = [f"__d{i}" for i in range(len(digest))]
+    counts = df.select(*[d.alias(n) for d, n in zip(digest, names)]).groupBy(*names).agg(
+        F.count("*").alias("__n")
     )
+    repeated = key_field(counts.where("__n > 1"), [F.col(n) for n in names])
+    equal = may_match(df, digest, repeated).groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    return counts.agg(_total("__n").alias("row_count")).withColumn(
+        "duplicates", equal.agg(_total(F.col("__n") - 1)).scalar()
+    )
+
+
+def _total(column: Column | str) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

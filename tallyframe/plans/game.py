@@ -15,6 +15,7 @@ from tallyframe.operators.profile import (
     fk_check, key_check, null_breakdown, preview, profile_columns, rows_with_nulls,
 )
 from tallyframe.operators.ranking import percentile_disc, tiers
+from tallyframe.sources.files import catalog
 from tallyframe.sources.schemas import TableKeys
 
 # Output labels.
@@ -30,18 +31,25 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def column_catalog(tables: Mapping[str, DataFrame], keys: Mapping[str, TableKeys]) -> DataFrame:
+    """Columns of every table with position, type and declared keys, next to what they hold.
+
+    A column under two constraints has two rows.
+    """
+    counts = _union([
+        profile_columns(df).select(
+            F.lit(name).alias("table_name"), "column_name", "row_count", "non_null_count"
+        ) for name, df in tables.items()
+    ])
+    return catalog(tables, keys).join(counts, ["table_name", "column_name"]).select(
+        "table_name", "position", "column_name", "data_type", "key_role", "parent_table",
+        "parent_column", "row_count", "non_null_count",
+    )
+
+
 def table_overview(tables: Mapping[str, DataFrame], keys: Mapping[str, TableKeys]) -> DataFrame:
     """Columns, types, key role, row and non-null counts of every table."""
-    parts = []
-    for name, df in tables.items():
-        primary = F.col("column_name").isin(list(keys[name].primary))
-        foreign = F.col("column_name").isin(list(keys[name].foreign))
-        parts.append(profile_columns(df).select(
-            F.lit(name).alias("table_name"), "column_name", "data_type",
-            F.when(primary, "primary key").when(foreign, "foreign key").alias("key_role"),
-            "row_count", "non_null_count",
-        ))
-    return _union(parts)
+    return column_catalog(tables, keys).drop("position", "parent_table", "parent_column")
 
 
 def key_checks(tables: Mapping[str, DataFrame], keys: Mapping[str, TableKeys]) -> DataFrame:

@@ -14,7 +14,7 @@ from tallyframe.operators import experiment, profile
 from tallyframe.plans import abtest, game, handoff, hypothesis, library, places, realty
 from tallyframe.sources.files import load
 from tallyframe.sources.proxies import proxy
-from tallyframe.sources.schemas import GAME_KEYS
+from tallyframe.sources.schemas import GAME_KEYS, STAR_KEYS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def _on_game_tables(plan: Callable) -> Query:
     return query
 
 
+def _column_catalog(spark: SparkSession, directory: str) -> DataFrame:
+    return game.column_catalog({t: load(spark, directory, t) for t in STAR_KEYS}, STAR_KEYS)
+
+
 def _on_places(plan: Callable, priced: bool = False) -> Query:
     def query(spark: SparkSession, directory: str) -> DataFrame:
         info = proxy(spark, directory, "e_info")
@@ -127,6 +131,7 @@ LIBRARY = ("l_audition", "l_content", "l_author")
 QUERIES: dict[str, Query] = {
     # online game
     "table_overview": _on_game_tables(game.table_overview),
+    "column_catalog": _column_catalog,
     "key_checks": _on_game_tables(game.key_checks),
     "reference_checks": _on_game_tables(game.reference_checks),
     "table_preview": _on(_preview, "g_users"),

@@ -1,7 +1,9 @@
 """Table scans, CSV scans, declared schemas, writers and staged tables."""
 
 from tallyframe.sources.files import (  # noqa: F401
+    catalog,
     catalog_columns,
+    catalog_keys,
     catalog_tables,
     load,
     read_csv,

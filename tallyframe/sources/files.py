@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tallyframe.sources import quoted
+from tallyframe.sources.schemas import TableKeys
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -78,12 +80,43 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFram
     )
 
 
-def catalog_columns(df: DataFrame, table_name: str) -> DataFrame:
+def catalog_columns(df: DataFrame, table_name: str, table_schema: str = "default") -> DataFrame:
     """Column names and types of a table in declared order."""
     rows = [
-        (table_name, i, f.name, f.dataType.simpleString())
+        (table_schema, table_name, i, f.name, f.dataType.simpleString())
         for i, f in enumerate(df.schema.fields, start=1)
     ]
     return df.sparkSession.createDataFrame(
-        rows, "table_name string, position int, column_name string, data_type string"
+        rows, "table_schema string, table_name string, position int, column_name string, data_type string"
     )
+
+
+def catalog_keys(
+    spark: SparkSession, keys: Mapping[str, TableKeys], table_schema: str = "default"
+) -> DataFrame:
+    """Declared keys, one row per column and constraint; foreign ones name their parent."""
+    rows = [
+        (table_schema, table, column, "primary key", None, None)
+        for table, declared in keys.items() for column in declared.primary
+    ] + [
+        (table_schema, table, column, "foreign key", *parent)
+        for table, declared in keys.items() for column, parent in declared.foreign.items()
+    ]
+    return spark.createDataFrame(
+        rows, "table_schema string, table_name string, column_name string, key_role string, "
+        "parent_table string, parent_column string"
+    )
+
+
+def catalog(
+    tables: Mapping[str, DataFrame], keys: Mapping[str, TableKeys], table_schema: str = "default"
+) -> DataFrame:
+    """Columns of several tables with their keys, joined by schema, table and column.
+
+    A column under two constraints has two rows, one without any has an empty role.
+    """
+    columns = reduce(
+        DataFrame.unionByName, [catalog_columns(df, name, table_schema) for name, df in tables.items()]
+    )
+    declared = catalog_keys(columns.sparkSession, keys, table_schema)
+    return columns.join(declared, ["table_schema", "table_name", "column_name"], "left")

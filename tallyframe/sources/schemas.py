@@ -53,3 +53,20 @@ GAME_KEYS = {
     "skills": TableKeys(("ch_id",)),
     "items": TableKeys(("item_code",)),
 }
+
+STAR_KEYS = {
+    "region": TableKeys(("r_regionkey",)),
+    "nation": TableKeys(("n_nationkey",), {"n_regionkey": ("region", "r_regionkey")}),
+    "customer": TableKeys(("c_custkey",), {"c_nationkey": ("nation", "n_nationkey")}),
+    "supplier": TableKeys(("s_suppkey",), {"s_nationkey": ("nation", "n_nationkey")}),
+    "part": TableKeys(("p_partkey",)),
+    "orders": TableKeys(("o_orderkey",), {"o_custkey": ("customer", "c_custkey")}),
+    "lineitem": TableKeys(
+        ("l_orderkey", "l_linenumber"),
+        {
+            "l_orderkey": ("orders", "o_orderkey"),
+            "l_partkey": ("part", "p_partkey"),
+            "l_suppkey": ("supplier", "s_suppkey"),
+        },
+    ),
+}
