@@ -29,6 +29,16 @@ SQL = {
         SELECT usage_geo_id_name AS city, COUNT(DISTINCT puid) AS users,
                {d("SUM(hours)")} AS hours
         FROM l_audition JOIN l_geo USING (usage_geo_id) GROUP BY 1""",
+    "user_handoff": f"""
+        WITH days AS (
+            SELECT puid, COUNT(DISTINCT CAST(msk_business_dt_str AS DATE)) AS n
+            FROM l_audition GROUP BY puid),
+        listeners AS (
+            SELECT usage_geo_id_name AS city, puid, SUM(hours) AS hours
+            FROM l_audition JOIN l_geo USING (usage_geo_id) GROUP BY 1, 2)
+        SELECT city, COUNT(*) AS users, {d("SUM(hours)")} AS hours,
+               CAST(SUM(n) AS BIGINT) AS active_days
+        FROM listeners LEFT JOIN days USING (puid) GROUP BY city""",
     "month_handoff": f"""
         SELECT CAST(date_trunc('month', CAST(msk_business_dt_str AS DATE)) AS DATE) AS month,
                COUNT(*) AS rows, {d("SUM(hours)")} AS hours

@@ -10,7 +10,9 @@ from tallyframe.functions.numeric import total
 from tallyframe.functions.temporal import month_start
 from tallyframe.functions.text import numeric_details
 from tallyframe.plans.library import with_day
-from tallyframe.sources.files import read_csv, read_dataset, write_dataset
+from tallyframe.sources.files import (
+    read_bucketed, read_csv, read_dataset, write_bucketed, write_dataset,
+)
 from tallyframe.sources.schemas import csv_schema
 from tallyframe.sources.staging import shared_folder
 
@@ -92,6 +94,26 @@ def city_handoff(audition: DataFrame, geo: DataFrame) -> DataFrame:
     )
 
 
+def user_handoff(audition: DataFrame, geo: DataFrame) -> DataFrame:
+    """The prepared table written in buckets of users; the next study joins it where it lies.
+
+    Per city: users, their hours there and their days with any listening.  Only
+    the days, already one row per user, move to the buckets.
+    """
+    spark = audition.sparkSession
+    path, prepared = _fresh_path(spark, "user-hours"), user_city_hours(audition, geo)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed(prepared, path, "puid", buckets)
+    handed = read_bucketed(spark, path, prepared.schema, "puid", buckets)
+    days = with_day(audition).where("day IS NOT NULL").select("puid", "day").distinct().groupBy(
+        "puid"
+    ).agg(F.count("*").alias("active_days"))
+    return handed.join(days, "puid", "left").groupBy("city").agg(
+        F.count("*").alias("users"), total("hours").alias("hours"),
+        F.coalesce(F.sum("active_days"), F.lit(0)).alias("active_days"),
+    )
+
+
 def month_handoff(audition: DataFrame, first_month: str, last_month: str) -> DataFrame:
     """Listening rows written by month; only the asked months are read back."""
     spark = audition.sparkSession

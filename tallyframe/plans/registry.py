@@ -233,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "place_files": _on(handoff.quoted_files, "e_info", schema_name="ctr_info"),
     "price_files": _on(handoff.quoted_files, "e_price", schema_name="ctr_price"),
     "city_handoff": _on(handoff.city_handoff, "l_audition", "l_geo"),
+    "user_handoff": _on(handoff.user_handoff, "l_audition", "l_geo"),
     "month_handoff": _on(
         handoff.month_handoff, "l_audition", first_month="1997-09-01", last_month="1997-11-01"
     ),

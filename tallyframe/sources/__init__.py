@@ -6,8 +6,10 @@ from tallyframe.sources.files import (  # noqa: F401
     catalog_keys,
     catalog_tables,
     load,
+    read_bucketed,
     read_csv,
     read_dataset,
+    write_bucketed,
     write_dataset,
 )
 from tallyframe.sources.staging import staged  # noqa: F401

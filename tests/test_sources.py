@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from tallyframe.plans import game, realty
 from tallyframe.plans.registry import QUERIES
 from tallyframe.sources import (
-    catalog_columns, catalog_tables, load, read_csv, read_dataset, staged, write_dataset,
+    catalog, catalog_columns, catalog_tables, load, read_bucketed, read_csv, read_dataset, staged,
+    write_bucketed, write_dataset,
 )
 from tallyframe.sources.proxies import proxy
-from tallyframe.sources.schemas import CSV_SCHEMAS, csv_schema
+from tallyframe.sources.schemas import CSV_SCHEMAS, TableKeys, csv_schema
 
 
 def plan_of(df):
@@ -66,6 +67,44 @@ def test_catalog(spark):
         (1, "id", "bigint"), (2, "s", "string")]
 
 
+def test_catalog_names_every_constraint(spark):
+    line = spark.createDataFrame([], "order_id long, line int, note string")
+    order = spark.createDataFrame([], "order_id long")
+    keys = {
+        "line": TableKeys(("order_id", "line"), {"order_id": ("order", "order_id")}),
+        "order": TableKeys(("order_id",)),
+    }
+    rows = catalog({"line": line, "order": order}, keys).collect()
+    assert sorted((r["table_name"], r["position"], r["key_role"], r["parent_table"]) for r in rows
+                  if r["key_role"]) == [
+        ("line", 1, "foreign key", "order"), ("line", 1, "primary key", None),
+        ("line", 2, "primary key", None), ("order", 1, "primary key", None)]
+    assert [r["column_name"] for r in rows if not r["key_role"]] == ["note"]
+
+
+def test_bucketed_hand_over_is_joined_where_it_lies(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") * 3).alias("k"), F.lit("x").alias("a b"))
+        df = df.union(spark.sql("SELECT NULL, 'none'"))
+        path = str(tmp_path / "handed")
+        write_bucketed(df, path, "k", 4)
+        back = read_bucketed(spark, path, df.schema, "k", 4)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+        assert back.columns == ["k", "a b"] and not spark.catalog.listTables(pattern="handed_*")
+        joined = back.join(spark.range(300).withColumnRenamed("id", "k"), "k")
+        assert joined.count() == 100
+        assert plan_of(joined).count("Exchange") == 1
+        assert plan_of(back.groupBy("k").count()).count("Exchange") == 0
+        with pytest.raises(Exception):
+            write_bucketed(df, path, "k", 4)
+        empty = str(tmp_path / "empty")
+        write_bucketed(df.limit(0), empty, "k", 4)
+        assert read_bucketed(spark, empty, df.schema, "k", 4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scans_read_only_needed_columns(spark, data_dir):
     df = game.payer_share(proxy(spark, data_dir, "g_users"))
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan_of(df)
