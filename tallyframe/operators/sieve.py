@@ -14,29 +14,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FIELD_BITS = 1 << 26  # 8 MB
-PART_BITS = 1 << 15  # what one value of ``bitmap_construct_agg`` holds
+FIELD_BITS = 1 << 26  # 8 MB; a power of two
+PART_SHIFT = 15  # one value of ``bitmap_construct_agg`` holds 2^15 bits
 
 
 def _slot(keys: Sequence[Column]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FIELD_BITS))
+    """Bit operations are never null, so the planner adds no filter that hashes once more."""
+    return F.xxhash64(*keys).bitwiseAND(F.lit(FIELD_BITS - 1))
+
+
+def _part(slot: Column) -> Column:
+    return F.shiftright(slot, PART_SHIFT)
+
+
+def _position(slot: Column) -> Column:
+    return slot.bitwiseAND(F.lit((1 << PART_SHIFT) - 1))
 
 
 def key_field(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """(part, bits): the bit field of the keys of ``df``, cut into parts."""
-    slots = df.select(_slot(keys).alias("slot"))
-    return slots.groupBy((F.col("slot") / PART_BITS).cast("int").alias("part")).agg(
-        F.bitmap_construct_agg(F.col("slot") % PART_BITS).alias("bits")
+    slots = df.select(_slot(keys).alias("slot")).select(
+        _part(F.col("slot")).alias("part"), _position(F.col("slot")).alias("position")
     )
+    return slots.groupBy("part").agg(F.bitmap_construct_agg("position").alias("bits"))
 
 
 def _met(df: DataFrame, keys: Sequence[Column], field: DataFrame, how: str) -> DataFrame:
-    slot = "__slot"
-    position = F.col(slot) % PART_BITS
-    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    is_set = F.getbit(byte.cast("int"), (position % 8).cast("int")) == 1
-    same_part = (F.col(slot) / PART_BITS).cast("int") == F.col("part")
-    return df.withColumn(slot, _slot(keys)).join(F.broadcast(field), same_part & is_set, how).drop(slot)
+    name = "__slot"
+    position = _position(F.col(name))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(position, 3) + 1, F.lit(1))), 16, 10)
+    is_set = F.getbit(byte.cast("int"), position.bitwiseAND(F.lit(7))) == 1
+    same_part = _part(F.col(name)) == F.col("part")
+    return df.withColumn(name, _slot(keys)).join(F.broadcast(field), same_part & is_set, how).drop(name)
 
 
 def may_match(df: DataFrame, keys: Sequence[Column], field: DataFrame) -> DataFrame:

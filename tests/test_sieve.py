@@ -21,9 +21,9 @@ def exchanges(df):
         else:
             if name == "ShuffleExchangeExec":
                 yield node.metrics().apply("shuffleRecordsWritten").value()
-            children = node.children()
-            for i in range(children.size()):
-                yield from walk(children.apply(i))
+            for below in (node.children(), node.subqueries()):
+                for i in range(below.size()):
+                    yield from walk(below.apply(i))
     df.collect()
     return list(walk(df._jdf.queryExecution().executedPlan()))
 
@@ -41,6 +41,17 @@ def test_equal_rows_whatever_the_digest(spark, digest):
     assert (row["row_count"], row["duplicates"]) == (12, 5)
 
 
+def test_digests_are_made_once_and_rows_compared_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 4990 AS a", "string(id % 4990) AS b").write.parquet(str(tmp_path / "t"))
+    counted = profile.duplicate_count(spark.read.parquet(str(tmp_path / "t")))
+    rows = exchanges(counted)
+    assert counted.first()["duplicates"] == 10
+    # Only the digests move as a whole; of the rows those that occur again.
+    assert [n for n in rows if n > 100] == [5000] and any(10 <= n <= 30 for n in rows)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "n int, s string")
     assert profile.duplicate_count(empty).first().asDict() == {"row_count": 0, "duplicates": 0}
