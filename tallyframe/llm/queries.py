@@ -17,11 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_warc(spark: SparkSession, directory: str) -> DataFrame:
-    """The archive of all pages, written to the shared folder and read back."""
+    """The archive of all pages, written to the shared folder and read back; digests of the rebuilt records."""
     folder = warc.new_folder(spark)
-    warc.write_archive(load(spark, directory, "pages"), folder)
-    return warc.read_archive(spark, folder).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    buckets = warc.write_archive(load(spark, directory, "pages"), folder)
+    return warc.read_archive(spark, folder, buckets).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"),
+        F.sha2("record", 256).alias("record_sha256"),
     )
 
 

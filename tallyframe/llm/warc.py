@@ -4,6 +4,8 @@
 keeps the exact header block of each record with the digest of its payload.
 Records are put together again by joining the two.  Reading hashes each stored
 payload anew and compares lengths, and fails on the first that does not agree.
+Payloads lie in buckets of their digest, so that a join which is told so moves
+headers only.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
+from tallyframe.sources.files import read_bucketed
 from tallyframe.sources.staging import shared_folder
 
 LEAST = 100  # bytes from which an equal payload becomes a revisit
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
+PAYLOADS = StructType().add("digest", StringType()).add("payload", BinaryType())
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,7 +58,7 @@ def header(page_id: Column, url: Column, size: Column, digest: Column, refers_to
     ).cast("binary")
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = LEAST, date: str = DATE) -> None:
+def write_archive(pages: DataFrame, folder: str, least: int = LEAST, date: str = DATE) -> int:
     """Write one record per row of ``pages`` (page_id, url, html) to ``folder``.
 
     A null html is an empty payload.  Of rows with equal payloads of at least
@@ -61,15 +66,20 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, date: str =
     several only if rows repeat that id; the others revisit it.  Where no row of
     a payload has an id, all are responses.  The payload table is written from
     one shuffle in which each task has already merged its own equal payloads;
-    the headers never move a payload.
+    the headers never move a payload.  Returns the number of buckets of the
+    payload table, one per shuffle partition.
     """
+    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(
         pages["page_id"], pages["url"].cast("string").alias("url"),
         F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    rows.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.parquet(
-        f"{folder}/payloads"
-    )
+    # The shuffle deals digests as buckets do, so each bucket is written by one task.
+    name = f"archive_{uuid.uuid4().hex}"
+    rows.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.format("parquet").option(
+        "path", f"{folder}/payloads"
+    ).bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+    pages.sparkSession.sql(f"DROP TABLE {name}")  # the files stay
     light = rows.withColumn("size", F.octet_length("payload").cast("long")).drop("payload")
     first = light.groupBy("digest").agg(F.min("page_id").alias("first"))
     revisit = (
@@ -83,6 +93,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST, date: str =
             F.when(revisit, F.col("first")), revisit, date,
         ).alias("header"),
     ).write.parquet(f"{folder}/headers")
+    return buckets
 
 
 def _verified(payloads: DataFrame) -> DataFrame:
@@ -94,15 +105,21 @@ def _verified(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, buckets: int | None = None) -> DataFrame:
     """All records: their ids, verified payloads, headers as written, and exact bytes.
 
     ``payload`` is the page's payload, also for a revisit; ``record`` is the
     record itself, whose block is empty for a revisit.  What is not selected is
-    neither joined nor moved.
+    neither joined nor moved.  With ``buckets``, as ``write_archive`` returned
+    them, payloads are joined where they lie.
     """
     headers = spark.read.parquet(f"{folder}/headers")
-    payloads = _verified(spark.read.parquet(f"{folder}/payloads"))
+    path = f"{folder}/payloads"
+    if buckets:
+        stored = read_bucketed(spark, path, PAYLOADS, "digest", buckets)
+    else:
+        stored = spark.read.schema(PAYLOADS).parquet(path)
+    payloads = _verified(stored)
     text = F.col("header").cast("string")
     field = lambda name: F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1)
     kind = field("WARC-Type")

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tallyframe.llm import sharding, urls, vectors
+from tallyframe.llm import queries, sharding, urls, vectors, warc
 from tallyframe.llm.queries import QUERIES
 from tallyframe.sources.files import load
 
@@ -55,6 +55,39 @@ def test_op1_archive(spark, data_dir):
         assert (row.refers_to == first[html]) if revisit else (row.refers_to != row.refers_to)
 
 
+def test_op1_rebuilds_every_record(spark, data_dir):
+    """Whole records, put together here from the pages alone."""
+    pages = load(spark, data_dir, "pages").toPandas()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a payload table of any size
+    try:
+        result = queries.op1_warc(spark, data_dir)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        ours = result.toPandas().set_index("page_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Only headers are shuffled for the join; payloads lie in their buckets.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    first = {}
+    for page, html in sorted(zip(pages.page_id, pages.html.fillna(""))):
+        first.setdefault(html, page)
+    for page, url, html in zip(pages.page_id, pages.url, pages.html.fillna("")):
+        data = html.encode()
+        revisit = len(data) >= 100 and first[html] != page
+        fields = [
+            ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{page}>"),
+            ("WARC-Target-URI", url), ("WARC-Date", "1970-01-01T00:00:00Z"),
+            ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(data).hexdigest()),
+            ("WARC-Profile", warc.REVISIT if revisit else None),
+            ("WARC-Refers-To", f"<urn:page:{first[html]}>" if revisit else None),
+            ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", 0 if revisit else len(data)),
+        ]
+        head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n"
+        record = head.encode() + (b"" if revisit else data) + b"\r\n\r\n"
+        assert ours.loc[page].record_bytes == len(record)
+        assert ours.loc[page].record_sha256 == hashlib.sha256(record).hexdigest()
+
+
 def test_op2_urls(spark, data_dir):
     pages = load(spark, data_dir, "pages").toPandas().set_index("page_id")
     ours = run(spark, data_dir, "op2_urls")
