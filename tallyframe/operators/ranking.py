@@ -237,15 +237,17 @@ def percentile_disc(df: DataFrame, column: str, p: str | float, out: str, by=())
 
 
 def few_valued_percentile(
-    df: DataFrame, column: str, p: str | float, out: str, by: Sequence[str] = ()
+    df: DataFrame, column: str, p: str | float, out: str, by: Sequence[str] = (), count: str | None = None,
 ) -> DataFrame:
     """``percentile_disc`` for a column of few distinct values: one count of them.
 
-    The counts of a group's values are summed in one task, so their number, not
+    Each row stands for itself, or for as many rows as ``count`` says.  The counts of a group's values are summed in one task, so their number, not
     the rows', has to be small.
     """
     by = list(by)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
+        (F.sum(count) if count else F.count("*")).alias("__n")
+    )
     until = Window.partitionBy(*by).orderBy(column).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.numeric import (
-    half_up, mean, percent, quotient, within_or_null,
+    half_up, known, mean, percent, quotient, total, within_or_null,
 )
 from tallyframe.functions.temporal import month_name, month_start
 from tallyframe.functions.text import bucketed, labelled
@@ -105,21 +105,32 @@ def time_on_market_segments(
         "city_id", "type_id", "floors_total", "is_apartment", "days_exposition",
     ))
     closed = _in_towns(kept.where(F.col("days_exposition").isNotNull()), types, town_type)
-    segmented = staged(lookup(closed, city, "city_id").select(
+    keys = ["region", "period"]
+    segmented = lookup(closed, city, "city_id").select(
         labelled("city", {main_city: main_city}, other_region).alias("region"),
         bucketed("days_exposition", bounds, labels).alias("period"),
         "is_apartment", "price_1m", "total_area", "rooms", "balcony", "floors_total",
-    ), "segmented")
-    keys = ["region", "period"]
-    grouped = segmented.groupBy(*keys).agg(
-        F.count("*").alias("flats"),
-        F.sum("is_apartment").alias("apartments"),
-        _rounded_mean("price_1m").alias("price_per_m2"),
-        _rounded_mean("total_area").alias("total_area"),
-        _rounded_mean("rooms", 0).alias("rooms"),
-        _rounded_mean("balcony", 0).alias("balconies"),
     )
-    floors = few_valued_percentile(segmented, "floors_total", "0.5", "floors", by=keys)
+    # A row per segment and number of floors answers averages and the median of floors.
+    measures = ("price_1m", "total_area", "rooms", "balcony")
+    by_floors = staged(segmented.groupBy(*keys, "floors_total").agg(
+        F.count("*").alias("n"), F.sum("is_apartment").alias("apartments"),
+        *[total(m).alias(f"{m}_sum") for m in measures],
+        *[F.count(known(m)).alias(f"{m}_n") for m in measures],
+    ), "segments")
+
+    def average(measure: str, digits: int = 2) -> Column:
+        return half_up(quotient(total(f"{measure}_sum"), F.sum(f"{measure}_n")), digits)
+
+    grouped = by_floors.groupBy(*keys).agg(
+        F.sum("n").alias("flats"),
+        F.sum("apartments").alias("apartments"),
+        average("price_1m").alias("price_per_m2"),
+        average("total_area").alias("total_area"),
+        average("rooms", 0).alias("rooms"),
+        average("balcony", 0).alias("balconies"),
+    )
+    floors = few_valued_percentile(by_floors, "floors_total", "0.5", "floors", by=keys, count="n")
     shares = share_within(grouped, ["region"], "flats", "share")
     return null_safe_join(shares, floors, keys, "left").withColumn(
         "floors", F.col("floors").cast("double")
