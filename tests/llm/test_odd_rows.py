@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_contracts import base_spans, brute_passages, components_of, shingle_set
 
 from tallyframe.llm import (
@@ -346,3 +347,22 @@ def test_the_sample_is_bounded_over_all_languages(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = language.sample(docs, "text", "lang", "doc_id", 400, language.SAMPLE_BYTES)
     assert len(found) == 40 and all(len(some) == 2 for some in found.values())
+
+
+def test_urls_of_hosts_kept_out_of_training(spark):
+    """Same words beside other parts, so every judged host is new to the model."""
+    model = urls.train(urls.labelled_table(spark))
+    part = spark.createDataFrame(urls.labelled_urls(), "url string, label int").select(urls.host_of(F.col("url")).alias("host"))
+    others = spark.createDataFrame(urls.labelled_urls(held_out=True), "url string, page_id int")
+    rows = urls.judge_urls(others, model, rules=()).join(part, "host", "left_anti").collect()
+    blocked = [r.page_id for r in rows if r.verdict == "block"]
+    assert len(rows) > 400 and sum(blocked) / len(blocked) >= 0.99
+    assert len(blocked) / sum(r.page_id for r in rows) >= 0.99
+
+
+def test_a_long_path_leaves_its_host_as_it_is(spark):
+    model = urls.train(urls.labelled_table(spark))
+    for host, verdict in (("best-poker-world.org", "block"), ("garden-letters.org", "allow")):
+        rows = [(i, f"https://{host}/{path}") for i, path in enumerate(("", "a/b", "lorem/ipsum-dolor/" * 400))]
+        found = urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string"), model).collect()
+        assert {r.verdict for r in found} == {verdict}
