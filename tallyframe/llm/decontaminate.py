@@ -159,7 +159,10 @@ def digest(items: set[str]) -> str:
 
 
 def block_of(items: DataFrame, block: int, count: int) -> list[tuple[str, str]]:
-    part = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == block) if count > 1 else items
+    """The items of one block, dealt by id and text: one id may hold most of the benchmark."""
+    part = items
+    if count > 1:
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block)
     return [(row.item, row.text) for row in part.collect()]
 
 
@@ -172,9 +175,9 @@ def find_passages(
     A null or empty text has no words and hits nothing; an item without words
     never occurs.  Items that share an id count once; one without id is named by
     an empty string.  The driver holds one block of items at a time.  When the
-    measured total asks for several blocks, the documents are written once with
-    a row number, each block is joined with all of them, and the spans found are
-    put together by row.
+    measured total asks for several blocks, the different items and the documents,
+    these with a row number, are written once, each block is joined with all
+    documents, and the spans found are put together by row.
     """
     spark = docs.sparkSession
     items = benchmark.select(
@@ -204,6 +207,8 @@ def find_passages(
         )
         return out.withColumn("contaminated", F.col("n_hit") > 0)
 
+    # Repeated items would all fall into one block.
+    items = staged(items.dropDuplicates(["item", "text"]), "benchmark-items")
     numbered = staged(
         docs.select(
             F.struct(*[docs[c] for c in keep]).alias("kept"), docs[column].alias("text"),

@@ -366,3 +366,23 @@ def test_a_long_path_leaves_its_host_as_it_is(spark):
         rows = [(i, f"https://{host}/{path}") for i, path in enumerate(("", "a/b", "lorem/ipsum-dolor/" * 400))]
         found = urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string"), model).collect()
         assert {r.verdict for r in found} == {verdict}
+
+
+def test_one_id_that_holds_most_of_the_benchmark(spark):
+    draw = random.Random(31)
+    word = lambda: draw.choice("abcdefghijklmnop") * draw.randint(1, 3)
+    shared = " ".join(f"shared{i}" for i in range(12))
+    texts = [" ".join(word() for _ in range(30)) + " " + shared for _ in range(60)]
+    items = [(7, t) for t in texts[:40]] + [(7, texts[0])] * 40 + [(None, t) for t in texts[40:]]
+    docs = [(i, " ".join(texts[i].split()[3:25 + i])) for i in range(0, 60, 4)] + [(99, shared), (100, "x y z")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    ours = decontaminate.find_passages(
+        spark.createDataFrame(docs, "doc_id long, text string"), table, block_bytes=2_000
+    ).collect()
+    expected = dict(brute_passages(docs, [("" if i is None else i, t) for i, t in items]))
+    assert len(ours) == len(docs)
+    for r in ours:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == expected[r.doc_id], r
+    named = table.where("item_id = 7").selectExpr("cast(item_id as string) as item", "text").dropDuplicates()
+    blocks = [decontaminate.block_of(named, b, 4) for b in range(4)]
+    assert sum(map(len, blocks)) == 40 and max(map(len, blocks)) <= 20
