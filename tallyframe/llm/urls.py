@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 MOST_LABELLED = 20_000
 PATH_WEIGHT = 0.25  # of a path against its host
-BLOCK_FROM = 0.5  # set on hosts kept out of training
+BLOCK_FROM = 0.5  # hosts kept out of training are told apart by limits from 0.3 to 0.6
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (verdict, host, path); the longest rule that fits decides.
