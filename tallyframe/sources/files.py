@@ -31,7 +31,8 @@ def read_csv(
     cells raise instead of turning into null, and so does a header that names
     other columns or another order.  Quotes inside a quoted cell are doubled, and
     quoted cells may hold line breaks: large files are split all the same (see
-    ``quoted``).  One scan that only counts quotes runs when this is called.
+    ``quoted``).  One scan that only counts quotes runs when this is called; files
+    with line breaks in cells are then staged as chunks of lines.
     """
     options = {
         "quote": '"', "escape": '"',
@@ -45,7 +46,7 @@ def read_csv(
 
     if not splits.broken:
         return plain(path)
-    found = quoted.records(spark, splits.broken, splits.inside)
+    found = quoted.records(spark, splits.broken)
     broken = quoted.parsed(found, schema, {**options, "multiLine": "true"})
     return plain(splits.plain).unionByName(broken) if splits.plain else broken
 

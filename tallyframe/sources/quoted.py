@@ -2,11 +2,13 @@
 
 A line break ends a record where the number of quotes before it, from the start
 of the file on, is even.  Files are scanned as lines, which Spark splits by byte
-ranges.  The first scan counts quotes per split; the running sum over a file's
-splits says which of them begin inside a quoted cell.  The second scan puts the
-lines of each split together to records with that knowledge.  What a split
-boundary cuts in two, at most one record per boundary, is stitched together
-apart, and whole records are parsed as cells by Spark.
+ranges.  Where it splits depends on all files of a scan, on settings and on the
+cores there are just then, so no scan relies on the splits of another.  The
+lines of each split are written as chunks, with the parity of the quotes before
+them in their split.  The running sum over a file's splits says which of them
+begin inside a quoted cell, and with both each chunk is put together to records
+by itself.  What a chunk's boundary cuts in two, at most one record per boundary,
+is stitched together apart, and whole records are parsed as cells by Spark.
 
 Files without any line of an odd number of quotes hold no such cells; they go to
 Spark's own reader, which splits them too.  Files follow RFC 4180: quotes stand
@@ -23,9 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-# A record is whole in its split, ends there, begins there, or runs through it.
+from tallyframe.sources.staging import staged
+
+# A record is whole in its chunk, ends there, begins there, or runs through it.
 WHOLE, TAIL, HEAD, THROUGH = range(4)
-FRAGMENT = "file string, split long, kind int, header boolean, record string"
+FRAGMENT = "file string, split long, number long, kind int, header boolean, record string"
+CHUNK = "file string, split long, number long, before int, quotes long, text string"
+CHUNK_BYTES = 256 << 10
+ROW_GROUP_BYTES = 32 << 20
 
 
 @dataclass
@@ -45,19 +52,23 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def states(per_split: DataFrame) -> DataFrame:
+    """Append to the quotes of each split whether it begins, and its file ends, inside a cell."""
+    order = Window.partitionBy("file").orderBy("split")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return per_split.withColumns({
+        "inside": F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2,
+        "open": F.sum("quotes").over(Window.partitionBy("file")) % 2,
+    })
+
+
 def find_splits(spark: SparkSession, path: str) -> Splits:
     """One scan that counts quotes; a row per file, and those splits that begin in a cell, are collected."""
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     per_split = lines(spark, path).groupBy("file", "split").agg(
         F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd")
     )
-    order = Window.partitionBy("file").orderBy("split")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    states = per_split.select(
-        "file", "split", "odd", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("inside"),
-        (F.sum("quotes").over(Window.partitionBy("file")) % 2).alias("open"),
-    )
-    files = states.groupBy("file").agg(
+    files = states(per_split).groupBy("file").agg(
         F.max("odd").alias("odd"), F.max("open").alias("open"),
         F.collect_list(F.when(F.col("inside") == 1, F.col("split"))).alias("inside"),
     ).collect()
@@ -70,81 +81,85 @@ def find_splits(spark: SparkSession, path: str) -> Splits:
     )
 
 
-class Assembler:
-    """Puts the lines of one split after the other together to records."""
-
-    def __init__(self, inside: set[tuple[str, int]]):
-        self.starts_inside, self.at = inside, None
-        self.pending: list[str] = []
-
-    def begin(self, at: tuple[str, int]) -> None:
-        self.at, self.inside = at, at in self.starts_inside
-        self.leading, self.first, self.pending = self.inside, True, []
-
-    def rows(self, records: pa.Array, kind: int) -> pa.RecordBatch:
-        count = len(records)
-        kinds, header = np.full(count, WHOLE, np.int32), np.zeros(count, bool)
-        kinds[0] = kind
-        header[0] = self.first and self.at[1] == 0
-        self.first = False
-        return pa.RecordBatch.from_arrays([
-            pa.array([self.at[0]] * count, pa.string()), pa.array(np.full(count, self.at[1], np.int64)),
-            pa.array(kinds), pa.array(header), records.cast(pa.string()),
-        ], names=["file", "split", "kind", "header", "record"])
-
-    def feed(self, values: pa.Array):
-        quotes = np.asarray(pc.count_substring(values, '"'))
-        after = (np.cumsum(quotes) + self.inside) & 1
-        ends = np.flatnonzero(after == 0) + 1
-        self.inside = bool(after[-1])
-        done = int(ends[-1]) if len(ends) else 0
-        if done:
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            records = pc.binary_join(pa.ListArray.from_arrays(offsets, values.slice(0, done)), "\n")
-            if self.pending:
-                whole = "\n".join([*self.pending, records[0].as_py()])
-                records = pa.concat_arrays([pa.array([whole], records.type), records.slice(1)])
-                self.pending = []
-            yield self.rows(records, TAIL if self.leading else WHOLE)
-            self.leading = False
-        self.pending += values.slice(done).to_pylist()
-
-    def end(self):
-        if self.at and self.pending:
-            kind = THROUGH if self.leading else HEAD
-            yield self.rows(pa.array(["\n".join(self.pending)], pa.string()), kind)
-        self.at = None
-
-
-def records(spark: SparkSession, files: list[str], inside: set[tuple[str, int]]) -> DataFrame:
-    """(header, record) of files with line breaks in cells."""
-    held = spark.sparkContext.broadcast(inside)  # splits that begin in a cell
+def joined(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The lines between neighbouring bounds as one text each."""
+    return pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), values), "\n")
+
+
+def chunks(batches):
+    """Neighbouring lines of a split as one row, with the parity of the split's quotes before it."""
+    at, number, before = None, 0, 0
+    for batch in batches:
+        names, starts, values = batch.columns
+        keys = list(zip(names.to_pylist(), starts.to_pylist()))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if keys[low] != at:
+                at, number, before = keys[low], 0, 0
+            part = values.slice(low, high - low)
+            place = np.cumsum(np.asarray(pc.binary_length(part), np.int64) + 1) // CHUNK_BYTES
+            bounds = np.array([0, *(np.flatnonzero(np.diff(place)) + 1), len(part)])
+            quotes = np.add.reduceat(np.asarray(pc.count_substring(part, '"'), np.int64), bounds[:-1])
+            parities = (before + np.cumsum(quotes) - quotes) & 1
+            count = len(quotes)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([at[0]] * count, pa.string()), pa.array(np.full(count, at[1], np.int64)),
+                pa.array(np.arange(number, number + count, dtype=np.int64)),
+                pa.array(parities.astype(np.int32)), pa.array(quotes),
+                joined(part, bounds).cast(pa.string()),
+            ], names=["file", "split", "number", "before", "quotes", "text"])
+            number, before = number + count, int(before + quotes.sum()) & 1
+
+
+def fragments(at: tuple[str, int, int], inside: bool, text: str) -> pa.RecordBatch:
+    """The records of one chunk, of which the first and the last may be cut."""
+    values = pc.split_pattern(pa.array([text], pa.string()), "\n").flatten()
+    quotes = np.asarray(pc.count_substring(values, '"'), np.int64)
+    after = (np.cumsum(quotes) + inside) & 1
+    bounds = np.concatenate([[0], np.flatnonzero(after == 0) + 1])
+    kinds = np.full(len(bounds) - 1, WHOLE, np.int32)
+    if inside and len(kinds):
+        kinds[0] = TAIL
+    if bounds[-1] < len(values):
+        kinds = np.append(kinds, np.int32(THROUGH if inside and not len(kinds) else HEAD))
+        bounds = np.append(bounds, len(values))
+    count, (file, split, number) = len(kinds), at
+    header = np.zeros(count, bool)
+    header[0] = split == number == 0
+    return pa.RecordBatch.from_arrays([
+        pa.array([file] * count, pa.string()), pa.array(np.full(count, split, np.int64)),
+        pa.array(np.full(count, number, np.int64)), pa.array(kinds), pa.array(header),
+        joined(values, bounds).cast(pa.string()),
+    ], names=["file", "split", "number", "kind", "header", "record"])
+
+
+def records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(header, record) of files with line breaks in cells; their lines are written once as chunks."""
+    written = staged(
+        lines(spark, files).mapInArrow(chunks, CHUNK), "csv-chunks",
+        **{"parquet.block.size": ROW_GROUP_BYTES},
+    )
+    per_split = written.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"))
+    begun = states(per_split).where("inside = 1").select("file", "split").collect()
+    held = spark.sparkContext.broadcast({tuple(r) for r in begun})  # splits that begin in a cell
 
     def assemble(batches):
-        made = Assembler(held.value)
         for batch in batches:
-            names, starts, values = batch.columns
-            keys = list(zip(names.to_pylist(), starts.to_pylist()))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for low, high in zip(cuts, cuts[1:]):
-                if low == high:
-                    continue
-                if keys[low] != made.at:
-                    yield from made.end()
-                    made.begin(keys[low])
-                yield from made.feed(values.slice(low, high - low))
-        yield from made.end()
-
-    found = lines(spark, files).mapInArrow(assemble, FRAGMENT)
+            for file, split, number, before, text in zip(*[c.to_pylist() for c in batch.columns]):
+                inside = ((file, split) in held.value) != bool(before)
+                yield fragments((file, split, number), inside, text)
+
+    found = written.select("file", "split", "number", "before", "text").mapInArrow(assemble, FRAGMENT)
     whole = found.where(F.col("kind") == WHOLE).select("header", "record")
-    if not inside:
-        return whole
-    # At most two fragments per split, of which one record begins.
-    order = Window.partitionBy("file").orderBy("split", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # At most two fragments per chunk, of which one record begins.
+    order = Window.partitionBy("file").orderBy("split", "number", "kind")
     cut = found.where(F.col("kind") != WHOLE).withColumn(
-        "number", F.sum((F.col("kind") == HEAD).cast("int")).over(order))
-    parts = F.sort_array(F.collect_list(F.struct("split", "kind", "record")))
-    stitched = cut.groupBy("file", "number").agg(F.max("header").alias("header"), parts.alias("parts"))
+        "begun", F.sum((F.col("kind") == HEAD).cast("int")).over(
+            order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.sort_array(F.collect_list(F.struct("split", "number", "kind", "record")))
+    stitched = cut.groupBy("file", "begun").agg(F.max("header").alias("header"), parts.alias("parts"))
     return whole.unionByName(
         stitched.select("header", F.array_join(F.col("parts.record"), "\n").alias("record"))
     )

@@ -29,12 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def staged(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` once, with options of the writer, and return a scan of the written table."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -108,3 +109,48 @@ def test_header_with_a_line_break(spark, tmp_path, small_splits):
 def test_columns_are_still_pruned(spark, tmp_path):
     write(tmp_path / "a.csv", 50, random.Random(2))
     assert read_csv(spark, str(tmp_path), SCHEMA).agg(F.sum("id")).first()[0] == 49 * 25
+
+
+def test_files_without_such_cells_beside_large_ones(spark, tmp_path):
+    """Splits follow from all files of a scan, and the plain ones are not in every scan."""
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "7")
+    try:
+        write(tmp_path / "a.csv", 400, random.Random(5))
+        write(tmp_path / "b.csv", 300, random.Random(6))
+        (tmp_path / "c.csv").write_text("id,note,price,seen,last\n" + "7,plain,,,z\n" * 2000)
+        ours = read_csv(spark, str(tmp_path), SCHEMA)
+        found = rows_of(ours)
+        # The cores there are, and with them the splits, may change before the rows are read.
+        spark.conf.set("spark.sql.files.minPartitionNum", "19")
+        again = rows_of(ours.where("id >= 0"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(found) == 2700
+    assert found == again == rows_of(one_task_reader(spark, str(tmp_path)))
+
+
+def test_records_cut_by_chunks(monkeypatch):
+    monkeypatch.setattr(quoted, "CHUNK_BYTES", 50)
+    draw = random.Random(8)
+    records = [f"{i},{cell(draw, 40)}" if i % 3 else f"{i},plain" for i in range(200)]
+    lines = "\n".join(records).split("\n")
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(["f"] * len(part)), pa.array([0] * len(part)), pa.array(part)],
+            names=["file", "split", "value"])
+        for at in range(0, len(lines), 70) for part in [lines[at:at + 70]]
+    ]
+    written = [row for b in quoted.chunks(iter(batches)) for row in b.to_pylist()]
+    assert "\n".join(w["text"] for w in written) == "\n".join(lines)
+    assert [w["number"] for w in written] == list(range(len(written))) and len(written) > 50
+    made = []
+    for w in written:
+        at = (w["file"], w["split"], w["number"])
+        for row in quoted.fragments(at, bool(w["before"]), w["text"]).to_pylist():
+            if row["kind"] in (quoted.TAIL, quoted.THROUGH):
+                made[-1] += "\n" + row["record"]
+            else:
+                made.append(row["record"])
+    assert made == records
