@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallyframe.llm.common import kept_in_worker, slices
-from tallyframe.llm.tokens import _COMMON, _WORD_LEVEL, BYTE_NAMES, Pieces, WordIds, packed
+from tallyframe.llm.tokens import WordIds
 from tallyframe.sources.staging import shared_folder
 
 REMEMBERED = 800_000
@@ -185,32 +185,9 @@ def parsed(data: bytes, name: str, at: int = 0, until: int | None = None):
         )
 
 
-class LeanPieces(Pieces):
-    """Pieces whose parts are remembered among them, each text once."""
-
-    def __missing__(self, piece: str) -> bytes:
-        if not _COMMON.fullmatch(piece) or "<|" in piece:
-            ids = packed(self.encoder.encode(piece, add_special_tokens=False).ids)
-        else:
-            parts = self.split(piece.lower())
-            if len(parts) > 1 or parts[0] != piece:
-                ids = b"".join(map(self.__getitem__, parts))
-            else:
-                mapped = piece if piece.isascii() else "".join(map(BYTE_NAMES.__getitem__, piece.encode()))
-                ids = packed([t.id for t in self.tokenize(mapped)])
-        self[piece] = ids
-        return ids
-
-    def forget(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-
-
 def word_ids(path: str, end_id: int | None) -> WordIds:
     """The encoder of a worker, whose memory stays small over all of its tasks."""
-    made = WordIds(path, end_id)
-    made.pieces = LeanPieces(path, _WORD_LEVEL, lower=True)
-    return made
+    return WordIds(path, end_id, REMEMBERED)
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -27,6 +27,7 @@ from tallyframe.llm.common import map_texts
 CHUNK = 32_768
 OVERLAP = 256
 REMEMBERED = 1_000_000
+REMEMBERED_WORDS = 600_000
 
 # White space other than space, tab, line feed and carriage return (fixed values).
 _RARE_SPACE = re.compile(
@@ -101,6 +102,31 @@ class Pieces(dict):
             self.parts.clear()
 
 
+class LeanPieces(Pieces):
+    """Pieces whose parts are remembered among them, each text once and ``most`` between batches."""
+
+    def __init__(self, path: str, pattern: re.Pattern, lower: bool, most: int):
+        super().__init__(path, pattern, lower)
+        self.most = most
+
+    def __missing__(self, piece: str) -> bytes:
+        if not _COMMON.fullmatch(piece) or "<|" in piece:
+            ids = packed(self.encoder.encode(piece, add_special_tokens=False).ids)
+        else:
+            parts = self.split(piece.lower())
+            if len(parts) > 1 or parts[0] != piece:
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                mapped = piece if piece.isascii() else "".join(map(BYTE_NAMES.__getitem__, piece.encode()))
+                ids = packed([t.id for t in self.tokenize(mapped)])
+        self[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -192,8 +218,8 @@ class WordIds:
     (NFC never composes with a space), so a text's ids are those of its words.
     """
 
-    def __init__(self, path: str, end_id: int | None = None):
-        self.pieces = Pieces(path, _WORD_LEVEL, lower=True)
+    def __init__(self, path: str, end_id: int | None = None, most: int = REMEMBERED_WORDS):
+        self.pieces = LeanPieces(path, _WORD_LEVEL, lower=True, most=most)
         self.end = b"" if end_id is None else packed([end_id])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:

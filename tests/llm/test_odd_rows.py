@@ -386,3 +386,19 @@ def test_one_id_that_holds_most_of_the_benchmark(spark):
     named = table.where("item_id = 7").selectExpr("cast(item_id as string) as item", "text").dropDuplicates()
     blocks = [decontaminate.block_of(named, b, 4) for b in range(4)]
     assert sum(map(len, blocks)) == 40 and max(map(len, blocks)) <= 20
+
+
+def test_words_are_remembered_once_and_not_without_bound():
+    """Memory of a packing task: no text twice, and all forgotten between batches when too many."""
+    from tokenizers import Tokenizer
+
+    made = tokens.WordIds(WORD_BPE)
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} Mixed{i}, caf\u00e9 \u6f22{i}" for i in range(200)]
+    library = Tokenizer.from_file(WORD_BPE)
+    wanted = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert made(texts) == wanted
+    assert not set(made.pieces) & set(made.pieces.parts)
+    made.pieces.most = 100
+    for at in range(0, 200, 10):
+        assert made(texts[at:at + 10]) == wanted[at:at + 10]
+        assert len(made.pieces) + len(made.pieces.parts) <= 100
