@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.common import map_texts
 from tallyframe.llm.graph import components
+from tallyframe.operators.sieve import key_field, may_match
 from tallyframe.sources.staging import staged
 
 BANDS, ROWS = 25, 5
@@ -149,7 +150,11 @@ def shingle_table(docs: DataFrame, text: str, key: str, size: int, values: int)
 
 
 def set_table(docs: DataFrame, ids: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(id, set) of the documents named by ``ids`` (id, class), from their whole texts."""
+    """(id, set) of the documents named by ``ids`` (id, class), from their whole texts.
+
+    Texts stay where they are: a sieve of the ids tells which become sets, and the
+    sets of the few others that it lets through go in the join.
+    """
 
     def make():
         import xxhash
@@ -161,13 +166,15 @@ def set_table(docs: DataFrame, ids: DataFrame, text: str, key: str, size: int) -
         return work
 
     named = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    found = map_texts(
-        named.join(ids.select("id").distinct(), "id", "left_semi"), "text", make,
-        "class binary, set binary", ["id"],
-    )
+    found = map_texts(sieved(named, ids, "id"), "text", make, "class binary, set binary", ["id"])
     return found.join(ids, ["id", "class"], "left_semi").dropDuplicates(["id", "class"]).drop("class")
 
 
+def sieved(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key may be one of ``keys``: all that are, and a few that are not."""
+    return may_match(df, [F.col(key)], key_field(keys, [F.col(key)]))
+
+
 def memberships(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, id): a class lies in one bucket of every band."""
 
@@ -322,10 +329,12 @@ def near_duplicates(
         named.groupBy("class").agg(F.min("id").alias("id"), F.any_value("signature").alias("signature")),
         "classes",
     )
-    signatures = classes.select("id", "signature")
+    # Most classes are alone in their buckets: only counts by bucket are shuffled of those.
     all_members = memberships(classes, bands, rows)
+    filled = all_members.groupBy("bucket").count().where("count > 1")
+    crowd = staged(sieved(all_members, filled, "bucket"), "crowd")
     draw = F.struct(F.xxhash64("bucket", "id").alias("draw"), "id")
-    several = all_members.groupBy("bucket").agg(
+    several = crowd.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.min(draw).getField("id").alias("pivot"),
         F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("mixed"),
     ).where("members > 1")
@@ -333,7 +342,8 @@ def near_duplicates(
     shared = several.groupBy("members", "mix", "mixed").agg(
         F.min(F.struct("bucket", "pivot")).alias("one")
     ).select("members", "one.bucket", "one.pivot")
-    buckets = staged(all_members.join(shared, "bucket"), "buckets")
+    buckets = staged(crowd.join(shared, "bucket"), "buckets")
+    signatures = staged(sieved(classes.select("id", "signature"), buckets, "id"), "signatures")
     stars = buckets.where("id != pivot").select(
         "bucket", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
     )
@@ -343,10 +353,8 @@ def near_duplicates(
     needed = near.select(F.col("a").alias("id")).union(near.select("b")).union(
         buckets.where("members > 2").join(ruled_out, "bucket", "left_semi").select("id")
     ).distinct()
-    sets = staged(
-        set_table(docs, classes.select("id", "class").join(needed, "id", "left_semi"), text, key, words),
-        "sets",
-    )
+    wanted = staged(classes.select("id", "class").join(needed, "id", "left_semi"), "wanted")
+    sets = staged(set_table(docs, wanted, text, key, words), "sets")
     links = staged(verified(near, sets, percent), "links")
     first = components(links)
     more = staged(

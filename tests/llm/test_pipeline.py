@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its predecessor's rows."""
 
+import random
 import re
 import zlib
 
@@ -8,8 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_contracts import base_spans, brute_passages, components_of, shingle_set
+from test_sieve import exchanges
 
-from tallyframe.llm import pii
+from tallyframe.llm import minhash, pii
+from tallyframe.operators import sieve
 from tallyframe.sources.files import load
 from tallyframe.sources.staging import staged
 
@@ -62,6 +65,37 @@ def test_near_dedup(steps):
     assert links and after == {d: t for d, t in before.items() if of[d] == d}
 
 
+@pytest.mark.parametrize("bits", [None, 8])
+def test_near_dedup_leaves_texts_where_they_are(spark, monkeypatch, bits):
+    """Only rows that may have a partner are shuffled; a full bit field lets all through, with the same result."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"w{draw.randrange(9999)}" for _ in range(60)), "p", i) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + (" more" if i % 2 else ""), "q", i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string, bits long")
+    moved = {}
+
+    def traced(df, label):
+        moved.setdefault(label, []).extend(exchanges(df))
+        return staged(df, label)
+
+    monkeypatch.setattr(minhash, "staged", traced)
+    if bits:
+        monkeypatch.setattr(sieve, "FIELD_BITS", bits)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.near_dedup(spark, docs, "")
+        last = exchanges(left)
+        assert left.columns == docs.columns
+        assert sorted(tuple(r) for r in left.collect()) == rows[:300]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    if not bits:
+        # Of all memberships (28 a class) only the counts move, once.
+        large = [n for some in moved.values() for n in some if n > 1000]
+        assert len(large) == 1 and large[0] <= 28 * 306
+        assert all(max(moved[label]) < 100 for label in ("near", "sets")) and max(last) < 100
+
+
 def test_decontamination(spark, data_dir, steps):
     before = texts(steps["near_dedup"])
     benchmark = load(spark, data_dir, "benchmark").toPandas()
